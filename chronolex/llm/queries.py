@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.llm import clusters, held
@@ -83,3 +83,95 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups with size and most typical members."""
     return clusters.describe_clusters(clusters.density_clusters(_sequences(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- 2: percentiles
+
+
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field_name, recording, x): each row once, values finite and not negative."""
+    w = table(spark, sf_dir, "words")
+    a = table(spark, sf_dir, "aligned_words")
+    s = table(spark, sf_dir, "split_filelist")
+    rows = [
+        w.select(F.lit("avg_char_duration").alias("field_name"), F.substring_index("segm", "/", 1).alias("recording"), F.col("avg_char_duration").alias("x"), F.xxhash64(*w.columns).alias("row")),
+        a.select(F.lit("dist_norm"), F.col("recording"), F.col("dist_norm"), F.xxhash64(*a.columns)),
+    ]
+    s = s.select(recording_in(F.col("mp3_name"), F.col("path"), F.col("segment_path")).alias("recording"), F.col("segment_index__segments").cast("long").alias("row"), F.col("duration__segments").alias("x"), "loaded_at")
+    s = s.groupBy("recording", "row").agg(F.max_by("x", F.struct("loaded_at", "x")).alias("x"))
+    rows.append(s.select(F.lit("duration__segments"), "recording", "x", "row"))
+    x = rows[0].unionByName(rows[1].toDF(*rows[0].columns)).where("x >= 0 and not isnan(x) and x < double('infinity')").distinct()
+    return x.select("field_name", "recording", "x").unionByName(rows[2].toDF("field_name", "recording", "x", "row").where("x >= 0 and not isnan(x) and x < double('infinity')").select("field_name", "recording", "x"))
+
+
+_FIELDS = {"avg_char_duration": (0.9, 0.16, 40), "dist_norm": (0.5, 0.35, 40), "duration__segments": (0.5, 20.0, 20)}
+
+
+def _percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm import quantiles
+
+    x = _measures(spark, sf_dir)
+    return quantiles.grouped_percentiles(x, {"field_name": F.col("field_name"), "recording": F.col("recording")}, F.col("x"), [0.5, 0.75, 0.9, 0.99])
+
+
+_P2 = """WITH w AS (SELECT DISTINCT * FROM words), a AS (SELECT DISTINCT * FROM aligned_words), s AS (
+  SELECT DISTINCT regexp_extract(coalesce(nullif(regexp_extract(mp3_name, '[0-9]{16}'), ''), path, segment_path), '[0-9]{16}') AS recording, segment_index__segments, duration__segments FROM split_filelist),
+x AS (SELECT 'avg_char_duration' AS field_name, split_part(segm, '/', 1) AS recording, avg_char_duration AS x, 0.9 AS q, 0.16 AS lim, 40 AS least FROM w
+  UNION ALL SELECT 'dist_norm', recording, dist_norm, 0.5, 0.35, 40 FROM a
+  UNION ALL SELECT 'duration__segments', recording, duration__segments, 0.5, 20.0, 20 FROM s)
+"""
+
+
+@query(_P2 + """SELECT field_name, recording FROM x WHERE x >= 0 AND NOT isnan(x) AND NOT isinf(x) GROUP BY field_name, recording
+  HAVING count(*) >= any_value(least) AND (CASE WHEN field_name = 'avg_char_duration' THEN quantile_cont(x, 0.9) ELSE quantile_cont(x, 0.5) END) > any_value(lim)""")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings whose percentile lies above the limit."""
+    x = _percentiles(spark, sf_dir)
+    at = {0.5: 0, 0.9: 2}
+    keep = F.lit(False)
+    for field, (share, limit, least) in _FIELDS.items():
+        keep = keep | ((F.col("field_name") == field) & (F.col("n") >= least) & (F.col("percentiles")[at[share]]["value"] > limit))
+    return x.where(keep).select("field_name", "recording")
+
+
+@query()
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and other percentiles of the three measures, with the rank error of each."""
+    x = _percentiles(spark, sf_dir)
+    return x.select("field_name", "recording", "n", F.explode("percentiles").alias("p")).select("field_name", "recording", "n", "p.share", "p.value", "p.error")
+
+
+# ---------------------------------------------------------------- 3: splits
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.splits import split_related
+
+    s = table(spark, sf_dir, "split_filelist").select("mp3_name", "path", "segment_path", "segment_index__segments", "type").distinct()
+    spelt = F.nullif(F.lower(F.trim("mp3_name")), F.lit(""))
+    entities = [F.concat(F.lit("recording:"), recording_in(F.col(c))) for c in ("mp3_name", "path", "segment_path")] + [F.concat(F.lit("name:"), spelt)]
+    targets = [tuple(r) for r in table(spark, sf_dir, "split_targets").select("side", "target_share").limit(100).collect()]
+    return split_related(s, entities, targets).withColumn("recording", recording_in(F.col("mp3_name"), F.col("path"), F.col("segment_path")))
+
+
+@query("""WITH x AS (SELECT regexp_extract(coalesce(nullif(regexp_extract(mp3_name, '[0-9]{16}'), ''), path, segment_path), '[0-9]{16}') AS recording,
+    regexp_extract(lower(trim(type)), '(train|dev|test)$') AS side FROM split_filelist)
+  SELECT recording FROM x WHERE side <> '' AND recording <> '' GROUP BY recording HAVING count(DISTINCT side) >= 2""")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings that stand on two or three of the sides today."""
+    x = _split(spark, sf_dir)
+    now = F.nullif(F.regexp_extract(F.lower(F.trim("type")), "(train|dev|test)$", 1), F.lit(""))
+    x = x.select("component", "recording", now.alias("now")).where("now is not null and recording is not null")
+    bits = F.bit_or(F.expr("case now when 'train' then 1 when 'dev' then 2 else 4 end"))
+    return x.groupBy("component", "recording").agg(bits.alias("sides")).where("bit_count(sides) >= 2").select("recording")
+
+
+@query()
+def p3_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and recordings of each new side, with the share of segments it got."""
+    x = _split(spark, sf_dir).select("recording", "segment_index__segments", "component", "side").distinct()
+    x = x.groupBy("side").agg(F.count("*").alias("segments"), F.approx_count_distinct("component").alias("components"))
+    x = x.withColumn("total", F.sum("segments").over(Window.partitionBy(F.lit(1))))  # three rows
+    t = table(spark, sf_dir, "split_targets").select(F.col("side").alias("s"), "target_share")
+    x = x.join(t, F.col("s") == F.col("side"))
+    return x.select("side", "segments", "components", "target_share", (F.col("segments") / F.col("total")).alias("share"))
