@@ -175,3 +175,26 @@ def p3_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "split_targets").select(F.col("side").alias("s"), "target_share")
     x = x.join(t, F.col("s") == F.col("side"))
     return x.select("side", "segments", "components", "target_share", (F.col("segments") / F.col("total")).alias("share"))
+
+
+# ---------------------------------------------------------------- 10: repetition
+
+
+def _repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.repetition import repetition
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repetition(docs, key=F.col("doc_id"), text=F.col("text")).withColumnRenamed("key", "doc_id")
+
+
+@query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which at least 0.35 repeats what they have said: lines marked, share exact."""
+    x = _repetition(spark, sf_dir)
+    return x.where("boilerplate_lines > 0 and repeated_share >= 0.35").select("doc_id").distinct()
+
+
+@query()
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of repeated and of content words for every document."""
+    return _repetition(spark, sf_dir)
