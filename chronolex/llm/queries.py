@@ -198,3 +198,97 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of repeated and of content words for every document."""
     return _repetition(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- 7: speaker turns
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.turns import spoken_words
+
+    return spoken_words(
+        table(spark, sf_dir, "words"), table(spark, sf_dir, "speakers"), segment=F.col("segm"), word=F.col("word"), speaker=F.col("speaker"),
+        start=F.col("start_time"), end=F.col("end_time"), tie=F.col("word_id"), transcript=F.substring_index("segm", "/", 1),
+    )
+
+
+@query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speaker turns with the start of their first word."""
+    x = _spoken(spark, sf_dir).where("opens")
+    return x.select("segm", "speaker_id", F.round(F.col("start") * 1000).cast("long").alias("start_ms"))
+
+
+@query()
+def p7_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns in order with their clean text."""
+    from chronolex.llm.turns import turns
+
+    return turns(_spoken(spark, sf_dir)).select("segm", "turn", "speaker_id", F.round(F.col("start") * 1000).cast("long").alias("start_ms"), "words", "text")
+
+
+# ---------------------------------------------------------------- 8: containers
+
+CONTAINER = 4096
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.tokens import token_count
+
+    docs = table(spark, sf_dir, "documents")
+    return materialise(docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens")), "tokens")
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.packing import pack
+
+    return pack(_sized(spark, sf_dir), key=F.col("doc_id"), size=F.col("tokens"), capacity=CONTAINER).withColumnRenamed("key", "doc_id")
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents larger than one container: those the packing had to split."""
+    return _packed(spark, sf_dir).where("piece > 0").select("doc_id").distinct()
+
+
+@query()
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout: every document or piece with its container."""
+    return _packed(spark, sf_dir)
+
+
+@query()
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the least that could do, and the share of space filled."""
+    x = _packed(spark, sf_dir).where("container is not null").groupBy("container").agg(F.sum("size").alias("size"))
+    x = x.agg(F.count("*").alias("containers"), F.sum("size").alias("tokens"), F.max("size").alias("fullest"))
+    return x.withColumn("least", F.ceil(F.col("tokens") / CONTAINER)).withColumn("filled", F.col("tokens") / (F.col("containers") * CONTAINER))
+
+
+# ---------------------------------------------------------------- 9: mixing
+
+
+def _mixed(spark: SparkSession, sf_dir: str):
+    from chronolex.llm.mixing import mix
+
+    return mix(_sized(spark, sf_dir), key=F.col("doc_id"), source=F.col("source"), size=F.col("tokens"), targets=table(spark, sf_dir, "mix_targets"))
+
+
+@query()
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that fall short of their target even when repeated as often as allowed."""
+    short = _mixed(spark, sf_dir).report.where("short").select(F.col("source").alias("s"))
+    t = table(spark, sf_dir, "mix_targets").select("source").distinct()
+    return t.join(short, F.lower(F.trim("source")) == F.col("s")).select("source")
+
+
+@query()
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and actual share of every source with a target."""
+    return _mixed(spark, sf_dir).report
+
+
+@query()
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: documents with slot and repetition."""
+    return _mixed(spark, sf_dir).records

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,13 +14,16 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=4)
 def encoding(ranks: str, pattern: str = PATTERN):
+    """The encoding of a rank file; a worker process reads it once, whatever tasks it runs."""
     import tiktoken
 
-    with open(ranks, "rb") as lines:
-        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+    kept = tiktoken.__dict__.setdefault("_by_file", {})
+    if (ranks, pattern) not in kept:
+        with open(ranks, "rb") as lines:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        kept[ranks, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+    return kept[ranks, pattern]
 
 
 def token_count(text: Column, ranks: str = RANKS) -> Column:
