@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from chronolex.plans import corpus, joins, selection  # noqa: F401
+from chronolex.plans import aggregates, corpus, joins, selection  # noqa: F401
 from chronolex.plans.registry import ORACLES, QUERIES  # noqa: F401
