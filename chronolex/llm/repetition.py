@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 
 STRETCH = 5
 LINE_WORDS = 20
-_PARTS = re.compile(r"[^\W_]+|[\n\r  .!?…]")
+_WORD = re.compile(r"[^\W_]+")
+_LINE = re.compile(r"[\n\r\u2028\u2029.!?…]+")
+_DIGITS = re.compile(r"\d+")
+#: With fewer distinct words than this, five word numbers fit exactly into 63 bits.
+_PLAIN = 6000
 
 #: Prior weights: per state (content, boilerplate) over the features, then transitions[from, to].
 FEATURES = ("bias", "repeated words", "line stood before", "words", "echo of the last words")
@@ -30,54 +34,58 @@ PRIOR = (np.array([[1.0, -3.0, -1.0, 0.0, -1.0], [-1.0, 3.0, 1.0, 0.0, 1.0]]), n
 
 def words_of(text: str) -> tuple[list[str], list[int]]:
     """Words without case, punctuation and the digits of numbers; where lines start among them."""
-    text = re.sub(r"\d+", "0", unicodedata.normalize("NFC", text).casefold())
+    text = _DIGITS.sub("0", unicodedata.normalize("NFC", text).casefold())
     words: list[str] = []
     starts: list[int] = []
-    new = True
-    for part in _PARTS.findall(text):
-        if part[0] in "\n\r  .!?…":
-            new = True
-            continue
-        if new or len(words) - starts[-1] >= LINE_WORDS:
-            starts.append(len(words))
-            new = False
-        words.append(part)
+    for line in _LINE.split(text):
+        found = _WORD.findall(line)
+        if found:
+            starts.extend(range(len(words), len(words) + len(found), LINE_WORDS))
+            words += found
     return words, starts
 
 
-def repeated(words: list[str], stretch: int = STRETCH) -> np.ndarray:
+def numbered(words: list[str]) -> tuple[np.ndarray, int]:
+    """Words as numbers, and how many there are."""
+    at: dict[str, int] = {}
+    return np.array([at.setdefault(w, len(at)) for w in words], np.int64), len(at)
+
+
+def repeated(ids: np.ndarray, distinct: int, stretch: int = STRETCH) -> np.ndarray:
     """For each word, whether it lies in a stretch of ``stretch`` words that has stood earlier."""
-    n = len(words)
+    n = len(ids)
     out = np.zeros(n, bool)
     if n <= stretch:
         return out
-    at: dict[str, int] = {}
-    ids = np.array([at.setdefault(w, len(at)) for w in words], np.int64)
-    gram, size = ids, len(at)
+    gram, size = ids, distinct
     for k in range(1, stretch):
-        # pairs of numbers below n are exact in 64 bits; renumbering keeps them so
-        _, gram = np.unique(gram[: n - k] * size + ids[k:], return_inverse=True)
-    _, first, which = np.unique(gram, return_index=True, return_inverse=True)
-    again = np.flatnonzero(first[which] < np.arange(len(gram)))
-    mark = np.zeros(n + 1, np.int64)
-    np.add.at(mark, again, 1)
-    np.add.at(mark, again + stretch, -1)
-    return np.cumsum(mark[:n]) > 0
-
-
-def line_features(words: list[str], starts: list[int], rep: np.ndarray) -> np.ndarray:
+        gram = gram[: n - k] * size + ids[k:]
+        if distinct >= _PLAIN:  # renumbered, pairs of numbers stay exact
+            _, gram = np.unique(gram, return_inverse=True)
+    order = np.argsort(gram, kind="stable")
+    again = order[1:][gram[order[1:]] == gram[order[:-1]]]
+    if len(again):
+        for k in range(stretch):
+            out[again + k] = True
+    return out
+
+
+def line_features(ids: np.ndarray, starts: list[int], rep: np.ndarray) -> np.ndarray:
     """(lines, features), all between 0 and 1."""
-    ends = np.append(starts[1:], len(words)).astype(int)
-    sums = np.append(0, np.cumsum(rep))
-    echo = np.zeros(len(words), bool)
+    begin = np.array(starts)
+    end = np.append(begin[1:], len(ids))
+    size = end - begin
+    x = np.ones((len(begin), len(FEATURES)))
+    x[:, 1] = np.add.reduceat(rep.astype(float), begin) / size
+    x[:, 3] = size / LINE_WORDS
+    echo = np.zeros(len(ids))
     for lag in (1, 2, 3):
-        echo[lag:] |= np.array([a == b for a, b in zip(words[lag:], words)], bool) if len(words) > lag else False
-    echoes = np.append(0, np.cumsum(echo))
-    seen: set[tuple[str, ...]] = set()
-    x = np.ones((len(starts), len(FEATURES)))
-    for i, (a, b) in enumerate(zip(starts, ends)):
-        line = tuple(words[a:b])
-        x[i, 1:] = (sums[b] - sums[a]) / (b - a), line in seen, min(1.0, (b - a) / LINE_WORDS), (echoes[b] - echoes[a]) / (b - a)
+        echo[lag:] += ids[lag:] == ids[:-lag]
+    x[:, 4] = np.add.reduceat(np.minimum(echo, 1), begin) / size
+    seen: set[bytes] = set()
+    for i, (a, b) in enumerate(zip(starts, end.tolist())):
+        line = ids[a:b].tobytes()
+        x[i, 2] = line in seen
         seen.add(line)
     return x
 
@@ -86,17 +94,20 @@ def viterbi(x: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray
     """The likeliest state of each line."""
     emit = x @ weights[0].T
     t = weights[1]
-    back = np.zeros((len(x), 2), np.int8)
+    if (emit[:, 0] >= emit[:, 1]).all() and t[0, 0] >= t.max():
+        return np.zeros(len(x), np.int8)  # every step of the all-content path is the best there is
+    emit = emit.tolist()
+    (t00, t01), (t10, t11) = t.tolist()
     a, b = emit[0]
-    for i in range(1, len(x)):
-        aa, ba, ab, bb = a + t[0, 0], b + t[1, 0], a + t[0, 1], b + t[1, 1]
-        back[i, 0], back[i, 1] = ba > aa, bb > ab
-        a, b = max(aa, ba) + emit[i, 0], max(ab, bb) + emit[i, 1]
-    state = np.zeros(len(x), np.int8)
-    state[-1] = b > a
-    for i in range(len(x) - 1, 0, -1):
-        state[i - 1] = back[i, state[i]]
-    return state
+    back = []
+    for to_a, to_b in emit[1:]:
+        aa, ba, ab, bb = a + t00, b + t10, a + t01, b + t11
+        back.append((ba > aa, bb > ab))
+        a, b = (ba if ba > aa else aa) + to_a, (bb if bb > ab else ab) + to_b
+    state = [int(b > a)]
+    for step in reversed(back):
+        state.append(int(step[state[-1]]))
+    return np.array(state[::-1], np.int8)
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, rate: float = 0.5, pull: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +152,8 @@ def fit_on_sample(df: DataFrame, text: Column, documents: int = 150, lines: int
             for t in pdf["t"]:
                 words, starts = words_of(t)
                 if words:
-                    f = line_features(words, starts, repeated(words))[:lines]
+                    ids, distinct = numbered(words)
+                    f = line_features(ids, starts, repeated(ids, distinct))[:lines]
                     rows.append((f.ravel().tolist(), (f[:, 1] >= 0.5).astype(int).tolist()))
             yield pd.DataFrame(rows, columns=["x", "y"])
 
@@ -169,8 +181,9 @@ def repetition(df: DataFrame, *, key: Column, text: Column, weights: tuple[np.nd
                 if not words:
                     rows.append((0, 0, 0, 1.0, 0.0))
                     continue
-                rep = repeated(words)
-                state = viterbi(line_features(words, starts, rep), weights)
+                ids, distinct = numbered(words)
+                rep = repeated(ids, distinct)
+                state = viterbi(line_features(ids, starts, rep), weights)
                 ends = np.append(starts[1:], len(words))
                 content = (ends - np.array(starts))[state == 0].sum() / len(words)
                 rows.append((len(words), len(starts), int(state.sum()), float(content), float(rep.mean())))
