@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -114,16 +112,15 @@ def find_floats(text: Column, suffixes: list[str], prefixes: list[str]) -> Colum
     Each hit is blanked before the next rule looks. An ordered fold over the rules.
     """
     number = r"\d+\s,\s\d+"
-    rules = [(r"\s(0\s,\s\d+)", 1)] + [(rf"({number}) {s}", 1) for s in suffixes] + [(rf"{p} ({number})", 1) for p in prefixes] + [(rf"^({number})", 1)]
+    rules = [r"\s(0\s,\s\d+)", *(rf"({number}) {s}" for s in suffixes), *(rf"{p} ({number})" for p in prefixes), rf"^({number})"]
     start = F.struct(F.lower(text).alias("rest"), F.array().cast("array<string>").alias("hits"))
 
-    def apply(a: Column, rule: tuple[str, int]) -> Column:
-        pattern, group = rule
-        hits = F.regexp_extract_all(a["rest"], F.lit(pattern), F.lit(group))
+    def apply(a: Column, rule: Column) -> Column:
+        hits = F.regexp_extract_all(a["rest"], rule, F.lit(1))
         blank = F.aggregate(hits, a["rest"], lambda r, h: replace_first(r, h, F.repeat(F.lit("X"), F.length(h))))
         return F.struct(blank.alias("rest"), F.concat(a["hits"], hits).alias("hits"))
 
-    out = reduce(apply, rules, start)["hits"]
+    out = F.aggregate(F.array(*map(F.lit, rules)), start, apply)["hits"]
     return F.transform(out, lambda h: F.regexp_replace(h, r"\s,\s", " "))
 
 
@@ -131,11 +128,11 @@ def find_order(text: Column, items: list[str]) -> Column:
     """Positions (1-based, 0 if absent) of items looked for one after another, each hit blanked."""
     start = F.struct(text.alias("rest"), F.array().cast("array<int>").alias("at"))
 
-    def apply(a: Column, item: str) -> Column:
-        at = F.instr(a["rest"], F.lit(item))
-        return F.struct(replace_first(a["rest"], F.lit(item), F.lit("X" * len(item))).alias("rest"), F.concat(a["at"], F.array(at)).alias("at"))
+    def apply(a: Column, item: Column) -> Column:
+        blank = replace_first(a["rest"], item, F.repeat(F.lit("X"), F.length(item)))
+        return F.struct(blank.alias("rest"), F.concat(a["at"], F.array(F.instr(a["rest"], item))).alias("at"))
 
-    return reduce(apply, items, start)["at"]
+    return F.aggregate(F.array(*map(F.lit, items)), start, apply)["at"]
 
 
 def apply_replacements(text: Column, pairs: Column) -> Column:
