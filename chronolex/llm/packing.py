@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from chronolex.llm.ranks import running
 from chronolex.shared import materialise
 
-GROUPS = 24
-SMALL = 1 / 8
+GROUPS = 48
+SMALL = 1 / 4
 SHARD_ROWS = 20_000
 BUCKET_ROWS = 100_000
 
