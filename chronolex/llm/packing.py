@@ -34,18 +34,26 @@ BUCKET_ROWS = 100_000
 
 
 def group_sizes(histogram: dict[int, int], groups: int) -> list[tuple[int, int, int]]:
-    """(smallest, largest, count) of groups of about equal cardinality, largest sizes first."""
-    total = sum(histogram.values())
+    """(smallest, largest, count) of groups of about equal cardinality, largest sizes first.
+
+    A size frequent enough for a group of its own is not rounded up with larger ones.
+    """
+    fair = sum(histogram.values()) / groups
     out: list[tuple[int, int, int]] = []
-    top, count = None, 0
+    members: list[int] = []
+
+    def close() -> None:
+        if members:
+            out.append((members[-1], members[0], sum(histogram[m] for m in members)))
+            members.clear()
+
     for size in sorted(histogram, reverse=True):
-        top = size if top is None else top
-        count += histogram[size]
-        if count >= total / groups:
-            out.append((size, top, count))
-            top, count = None, 0
-    if count:
-        out.append((min(histogram), top, count))
+        if histogram[size] >= fair:
+            close()
+        members.append(size)
+        if sum(histogram[m] for m in members) >= fair:
+            close()
+    close()
     return out
 
 
