@@ -16,6 +16,7 @@ SCALES = ((10**9, "miliarda", "miliardy", "miliard", "fem"), (10**6, "milion", "
 ORDINAL_ONES = ("", "první", "druhý", "třetí", "čtvrtý", "pátý", "šestý", "sedmý", "osmý", "devátý", "desátý", "jedenáctý", "dvanáctý", "třináctý", "čtrnáctý", "patnáctý", "šestnáctý", "sedmnáctý", "osmnáctý", "devatenáctý")
 ORDINAL_TENS = ("", "", "dvacátý", "třicátý", "čtyřicátý", "padesátý", "šedesátý", "sedmdesátý", "osmdesátý", "devadesátý")
 ORDINAL_HUNDREDS = ("", "stý", "dvoustý", "třístý", "čtyřstý", "pětistý", "šestistý", "sedmistý", "osmistý", "devítistý")
+HOURS_OF = ("", "jedné", "druhé", "třetí", "čtvrté", "páté", "šesté", "sedmé", "osmé", "deváté", "desáté", "jedenácté", "dvanácté")
 LINKERS = ("celé", "celých", "celá")
 
 
@@ -114,13 +115,14 @@ def time_variants(text: str) -> list[str]:
         out += [head, f"{head} hodin"]
         for tail in dict.fromkeys(tails):
             out += [f"{head} {tail}", f"{head} hodin {tail} minut", f"{head} hodin {tail}"]
-    following = cardinal(h % 12 + 1)
+    coming = h % 12 + 1
+    onto = {1: "jednu", 2: "dvě"}.get(coming, cardinal(coming))
     if m == 30:
-        out.append(f"půl {following}")
+        out += [f"půl {cardinal(coming)}", f"půl {HOURS_OF[coming]}"]
     if m == 15:
-        out.append(f"čtvrt na {following}")
+        out.append(f"čtvrt na {onto}")
     if m == 45:
-        out.append(f"tři čtvrtě na {following}")
+        out.append(f"tři čtvrtě na {onto}")
     return list(dict.fromkeys(out))
 
 
