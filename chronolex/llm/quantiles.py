@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolex.shared import materialise
+
 #: (values, rmin, rmax, n)
 Summary = tuple[np.ndarray, np.ndarray, np.ndarray, int]
 
@@ -139,8 +141,10 @@ def merge_summaries(parts: DataFrame, eps: float = 0.01, fan_in: int = FAN_IN, l
     ``parts`` holds summaries (g, part, ...) of partitions, or of other days of loading made by
     this very function with a ``part`` number added; each group holds at most one of a number.
     """
-    spark = parts.sparkSession
-    top = largest_part or max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts.rdd.getNumPartitions())
+    if largest_part is None:
+        parts = materialise(parts, "summaries")
+        largest_part = parts.agg(F.max("part")).first()[0] or 0
+    top = largest_part
     levels = max(1, int(np.ceil(np.log(max(2, top + 1)) / np.log(fan_in))))
     x = parts
     for level in range(1, levels + 1):
