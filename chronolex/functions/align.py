@@ -122,3 +122,13 @@ def alignment_score(a: Column, b: Column, local: bool) -> Column:
         return pd.Series([None if s is None or t is None else align(s.split(), t.split(), LOCAL if local else GLOBAL, local)[0] for s, t in zip(x, y)], dtype="float64")
 
     return run(a, b)
+
+
+def ranked(candidates: Column, heard: Column, most: int) -> Column:
+    """``rank_candidates`` over columns: the best texts of an array, in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None or t is None else [w for w, _ in rank_candidates(list(c), t, most)] for c, t in zip(x, y)], dtype=object)
+
+    return run(candidates, heard)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chronolex.operators import relational as rel
 from chronolex.operators import timeline
+from chronolex.operators.inflection import cardinal_forms as inflected
+from chronolex.operators.inflection import with_noun
 from chronolex.plans.base import ALIGNED, SEG, WORDS, aligned, segments, words
 from chronolex.plans.registry import query, table
 
@@ -48,11 +50,17 @@ def agreement_chain(spark: S, d: str) -> D:
 @query(f"WITH {_MORPH} SELECT DISTINCT m.form || ' ' || n.form AS form, m.cas, m.gen, m.num FROM m JOIN n ON m.cas = n.cas AND m.gen = n.gen AND m.num = n.num UNION SELECT DISTINCT m.form || ' ' || n.form, m.cas, m.gen, m.num FROM m JOIN n ON n.cas = '2' AND m.gen = n.gen")
 def num_with_noun(spark: S, d: str) -> D:
     """Exact agreement, together with the genitive of the noun."""
-    m, n = _morph(spark)
-    exact = m.alias("m").join(n.alias("n"), ["cas", "gen", "num"]).select(F.concat_ws(" ", "m.form", "n.form").alias("form"), "cas", "gen", "num")
-    genitive = n.where("cas = '2'").select(F.col("form").alias("nf"), "gen").distinct()
-    of = m.join(genitive, "gen").select(F.concat_ws(" ", "form", "nf").alias("form"), "cas", "gen", "num")
-    return exact.union(of).distinct()
+    return with_noun(*_morph(spark))
+
+
+LEMMAS = [("dvacet", "dvacet", "1", "fem", "pl"), ("dvacet", "dvaceti", "2", "fem", "pl"), ("dva", "dvě", "1", "fem", "pl"), ("dva", "dvou", "2", "fem", "pl"), ("sto", "sto", "1", "fem", "pl"), ("sto", "sta", "2", "fem", "pl")]
+
+
+@query(f"""WITH m(lemma, form, cas, gen, num) AS (SELECT * FROM {_values(LEMMAS)}), low AS (SELECT DISTINCT b.cas, b.gen, b.num, a.form || ' ' || b.form AS form FROM m a JOIN m b ON a.cas = b.cas AND a.gen = b.gen WHERE a.lemma = 'dvacet' AND b.lemma = 'dva')
+SELECT DISTINCT low.cas, low.gen, low.num, s.form || ' ' || low.form AS form FROM m s JOIN low ON s.cas = low.cas AND s.gen = low.gen WHERE s.lemma = 'sto' UNION SELECT cas, gen, num, 'sto ' || form FROM low""")
+def cardinal_forms(spark: S, d: str) -> D:
+    """A number with all words inflected, and with its last two digits inflected."""
+    return inflected(spark.createDataFrame(LEMMAS, "lemma string, form string, cas string, gen string, num string"), 122)
 
 
 #: Which genders a code of the tag set may stand for, and which numbers.

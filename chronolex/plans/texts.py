@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from chronolex.functions import align, numerals
 from chronolex.functions import numeric as N
 from chronolex.functions import text as T
-from chronolex.functions.transcripts import ABBREVIATIONS, normalise_transcript
+from chronolex.functions import transcripts
+from chronolex.functions.transcripts import ABBREVIATIONS
 from chronolex.plans.base import ALIGNED, SEG, WORDS, aligned, segments, words
 from chronolex.plans.registry import query, table
 
@@ -182,9 +183,9 @@ def global_align(spark: S, d: str) -> D:
 
 
 @query()
-def normalised_transcripts(spark: S, d: str) -> D:
+def normalise_transcript(spark: S, d: str) -> D:
     """Transcripts with numbers written the way they were spoken."""
-    return _transcripts(spark, d).select("recording", "part", normalise_transcript(F.col("gold"), F.col("heard")).alias("text"))
+    return _transcripts(spark, d).select("recording", "part", transcripts.normalise_transcript(F.col("gold"), F.col("heard")).alias("text"))
 
 
 @query()
@@ -218,3 +219,18 @@ def decimal_variants(spark: S, d: str) -> D:
 def ordinal_table(spark: S, d: str) -> D:
     """Ordinals below 1000."""
     return spark.createDataFrame([(n, numerals.ordinal(n)) for n in range(1, 1000)], "n int, word string")
+
+
+@query("SELECT doc_id, [CAST(strpos(text, 'obce') AS INT), CAST(strpos(CASE WHEN strpos(text, 'obce') > 0 THEN substr(text, 1, strpos(text, 'obce') - 1) || 'XXXX' || substr(text, strpos(text, 'obce') + 4) ELSE text END, 'obce') AS INT)] AS at FROM documents WHERE text IS NOT NULL")
+def find_order(spark: S, d: str) -> D:
+    """Where one item and its repetition stand, each hit masked before the next is looked for."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.find_order(F.col("text"), ["obce", "obce"]).alias("at"))
+
+
+@query()
+def rank_candidates(spark: S, d: str) -> D:
+    """The spoken forms of a number nearest to what was heard."""
+    x = _transcripts(spark, d).where(F.col("gold").rlike(r"\d"))
+    x = x.select("recording", "part", "heard", F.explode(T.find_digits(F.col("gold"))).alias("n")).where("length(n) < 10")
+    x = x.withColumn("variants", numerals.number_variants(F.col("n").cast("long")))
+    return x.select("recording", "part", "n", align.ranked(F.col("variants"), F.col("heard"), 2).alias("ranked"))
