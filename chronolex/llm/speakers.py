@@ -34,20 +34,20 @@ def name_tokens(label: str) -> list[str]:
     return [t.lower() for t in _TOKEN.findall(plain(label))]
 
 
+def _single(classes: str) -> str:
+    """Neighbours of one class once."""
+    return "".join(c for i, c in enumerate(classes) if i == 0 or c != classes[i - 1])
+
+
 def sound(token: str) -> str:
     """Consonant classes in order, neighbours of one class once."""
-    out = ""
-    for c in token:
-        s = SOUNDS.get(c, "")
-        if s and not out.endswith(s):
-            out += s
-    return out
+    return _single("".join(SOUNDS.get(c, "") for c in token))
 
 
 def block_keys(token: str) -> set[str]:
-    """The token's code and the code less each one symbol."""
+    """The token's code and the code less each one symbol, neighbours that then meet once."""
     code = sound(token)
-    return {code} | {code[:i] + code[i + 1 :] for i in range(len(code))}
+    return {code} | {_single(code[:i] + code[i + 1 :]) for i in range(len(code))}
 
 
 def edits(a: str, b: str, most: int) -> int:

@@ -26,6 +26,15 @@ def test_spellings(spark):
     assert got == {(None, x): 1 for x in one} | {(None, x): i for x, i in other.items()}
 
 
+def test_any_lost_doubled_or_swapped_letter_meets_its_name():
+    for name in ("hrumorostek", "pasoskulkek", "zarozna", "bricedrinkon", "klaveralka"):
+        keys = P.block_keys(name)
+        for i in range(len(name)):
+            assert keys & P.block_keys(name[:i] + name[i + 1 :])
+            assert keys & P.block_keys(name[: i + 1] + name[i:])
+            assert keys & P.block_keys(name[:i] + name[i + 1 : i + 2] + name[i] + name[i + 2 :])
+
+
 def test_ties_are_decided_in_the_transcript(spark):
     got = labelled(spark, [("r1", "Tehaznová"), ("r1", "Dobrana Tehaznová"), ("r2", "Tehaznová"), ("r3", "Tehaznová"), ("r3", "Dobrana Tehaznová"), ("r3", "Sazimíra Tehaznová")])
     assert got[("r1", "Tehaznová")] == 3 and ("r2", "Tehaznová") not in got and ("r3", "Tehaznová") not in got
