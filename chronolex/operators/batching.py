@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolex.operators.ranking import global_rank
+
 
 def greedy_bins(df: DataFrame, key: str, size: str, bins: int | None = None, threshold: float | None = None, group: list[str] | None = None, keep_last: bool = True) -> DataFrame:
     """(group..., bin, key, size): items in order of key; a bin closes with the item that reaches the threshold.
@@ -38,9 +40,9 @@ def flush_chunks(df: DataFrame, key: str, frames: str, buffer: int, group: list[
 
 def fixed_buckets(df: DataFrame, key: str, buckets: int = 100) -> DataFrame:
     """(key, bucket): distinct keys in order, as many a bucket as fit ``buckets``, at least one."""
-    x = df.select(key).where(F.col(key).isNotNull()).distinct()
+    x = global_rank(df.select(key).where(F.col(key).isNotNull()).distinct(), [key], "__rank")
     limit = max(1, x.count() // buckets)
-    return x.withColumn("bucket", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / limit))
+    return x.select(key, F.floor(F.col("__rank") / limit).alias("bucket"))
 
 
 def bucketed_sampler(df: DataFrame, *, folder: str, item: str, duration: str, position: str, batch: int, replicas: int, scale: int, seed: int | None = None, epoch: int = 0, drop_last: bool = False) -> DataFrame:
@@ -59,24 +61,23 @@ def bucketed_sampler(df: DataFrame, *, folder: str, item: str, duration: str, po
     pad = max(0, total - n)
     x = df.select(F.col(folder).alias("folder"), F.col(item).alias("item"), F.col(duration).alias("duration"), F.col(position).alias("position"))
     first = x.groupBy("folder").agg(F.min("position").alias("seen"))
-    x = x.join(first, "folder").withColumn("copy", F.lit(0))
     order = F.col("position") if seed is None else F.xxhash64(F.lit(seed), F.lit(epoch), "item")
-    x = x.withColumn("o", F.row_number().over(Window.partitionBy("folder").orderBy("copy", order)) - 1)
+    x = global_rank(x.join(first, "folder").withColumn("o", order), ["seen", "o", "position"], "at")
+    folders = x.groupBy("seen").agg(F.min("at").alias("base"), F.count("*").alias("size"))
+    x = x.drop("o").join(folders, "seen").withColumn("o", F.col("at") - F.col("base")).withColumn("copy", F.lit(0))
     if pad:
-        head = x.agg(F.min("seen").alias("s"))
-        extra = x.join(F.broadcast(head), F.col("seen") == F.col("s"), "left_semi")
-        size = extra.count()
-        extra = extra.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(math.ceil(pad / size)))))
+        head = x.where("base = 0")
+        size = head.count()
+        extra = head.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(math.ceil(pad / size)))))
         extra = extra.withColumn("o", F.col("o") + F.col("copy") * size).where(F.col("o") < size + pad)
-        x = x.unionByName(extra)
+        x = x.withColumn("base", F.when(F.col("base") > 0, F.col("base") + pad).otherwise(0)).unionByName(extra)
     x = x.withColumn("block", F.floor(F.col("o") / chunk))
     w = Window.partitionBy("seen", "block").orderBy("duration", "o")
     x = x.withColumn("q", F.row_number().over(w) - 1)
     if seed is not None:
-        x = x.withColumn("q", F.floor(F.col("q") / effective) * effective + F.row_number().over(Window.partitionBy("seen", "block", F.floor(F.col("q") / effective)).orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), "item", "copy"))) - 1)
-    before = x.groupBy("seen").agg(F.count("*").alias("c"))
-    before = before.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("seen").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    x = x.join(before, "seen").withColumn("pos", F.col("base") + F.col("block") * chunk + F.col("q"))
+        within = Window.partitionBy("seen", "block", F.floor(F.col("q") / effective)).orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), "item", "copy"), "o")
+        x = x.withColumn("q", F.floor(F.col("q") / effective) * effective + F.row_number().over(within) - 1)
+    x = x.withColumn("pos", F.col("base") + F.col("block") * chunk + F.col("q"))
     x = x.where(F.col("pos") < total)
     return x.select("pos", "folder", "item", "duration", F.pmod("pos", F.lit(replicas)).alias("rank"), F.floor(F.col("pos") / replicas).alias("turn"))
 

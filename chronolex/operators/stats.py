@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolex.operators.ranking import global_rank
+
 
 def finite(c: Column) -> Column:
     """The value, null where it is NaN."""
@@ -16,23 +18,12 @@ def hours(seconds: Column) -> Column:
     return F.coalesce(F.sum(finite(seconds)), F.lit(0.0)) / 3600
 
 
-def empirical_percentile(df: DataFrame, value: str, order: list[str], out: str = "pct", buckets: int = 256) -> DataFrame:
-    """``df`` with rank / n, ranks from 0 in order of ``value`` and then ``order``; nulls are left out.
-
-    Ranges of the value are ranked apart, so no window runs over the whole table in one task.
-    """
+def empirical_percentile(df: DataFrame, value: str, order: list[str], out: str = "pct") -> DataFrame:
+    """``df`` with rank / n, ranks from 0 in order of ``value`` and then ``order``; nulls and NaN are left out."""
     x = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    cuts = x.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("c"), F.count("*").alias("n")).first()
-    edges, n = sorted(set(cuts["c"] or [])), cuts["n"]
-    if not n:
-        return x.withColumn(out, F.lit(None).cast("double"))
-    # each bucket holds the values from one edge up to the next
-    bucket = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e <= F.col(value))) if edges else F.lit(0)
-    x = x.withColumn("__b", bucket)
-    before = x.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = before.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    local = F.row_number().over(Window.partitionBy("__b").orderBy(value, *order)) - 1
-    return x.withColumn("__r", local).join(F.broadcast(before), "__b").withColumn(out, (F.col("__before") + F.col("__r")) / F.lit(n)).drop("__b", "__r", "__before")
+    x = global_rank(x, [value, *order], "__rank")
+    n = x.count()
+    return x.withColumn(out, F.col("__rank") / F.lit(max(1, n))).drop("__rank")
 
 
 def percentile_bands(df: DataFrame, pct: str, point: float, width: float) -> DataFrame:

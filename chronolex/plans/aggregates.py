@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.operators import batching, stats, timeline
+from chronolex.operators.ranking import global_rank
 from chronolex.plans.base import ALIGNED, SEG, WORDS, aligned, segments, words
 from chronolex.plans.joins import _BUCKETS, _GRID, _ISLES, _buckets, _islands, grid
 from chronolex.plans.registry import query, table
@@ -222,7 +223,8 @@ p AS (SELECT CAST(base + block * 24 + q AS BIGINT) AS pos, folder, item, duratio
 
 def _sampler(spark: S, d: str, **more) -> D:
     x = segments(spark, d)
-    x = x.select(F.col("recording").alias("folder"), F.concat_ws("/", "recording", F.col("idx").cast("string")).alias("item"), F.coalesce("duration", F.lit(0.0)).alias("duration"), F.row_number().over(Window.orderBy("idx", "recording")).alias("position"))
+    x = global_rank(x.select("recording", "idx", "duration"), ["idx", "recording"], "position")
+    x = x.select(F.col("recording").alias("folder"), F.concat_ws("/", "recording", F.col("idx").cast("string")).alias("item"), F.coalesce("duration", F.lit(0.0)).alias("duration"), "position")
     return batching.bucketed_sampler(x, folder="folder", item="item", duration="duration", position="position", batch=4, replicas=3, scale=2, **more)
 
 

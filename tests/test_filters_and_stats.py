@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from chronolex.operators import filters as L
 from chronolex.operators import stats as S
+from chronolex.operators.ranking import global_rank
 
 NAN = float("nan")
 
@@ -46,13 +47,21 @@ def test_membership_and_audit(spark):
 
 def test_empirical_percentile(spark, got):
     df = spark.createDataFrame([(i, x) for i, x in enumerate([40.0, 10.0, 30.0, 20.0, NAN])] + [(9, None)], "id int, x double")
-    assert got(S.empirical_percentile(df, "x", ["id"], buckets=3), "x", "pct") == [(10, 0), (20, 0.25), (30, 0.5), (40, 0.75)]
+    assert got(S.empirical_percentile(df, "x", ["id"]), "x", "pct") == [(10, 0), (20, 0.25), (30, 0.5), (40, 0.75)]
     many = spark.range(2000).select("id", (F.col("id") % 10).cast("double").alias("x"))
     out = S.empirical_percentile(many, "x", ["id"]).orderBy("x", "id").collect()
     assert [r["pct"] for r in out] == [i / 2000 for i in range(2000)]
     assert S.empirical_percentile(df.limit(0), "x", ["id"]).collect() == []
 
 
+def test_global_rank(spark):
+    df = spark.range(500).select(((F.col("id") * 37) % 500).alias("x"), F.lit("clash").alias("rank0"))
+    assert all(r["x"] == r["rank"] for r in global_rank(df.repartition(7), ["x"]).collect())
+    nulls = spark.createDataFrame([(2, "b"), (None, "a"), (2, "a")], "x int, y string")
+    assert {(r["x"], r["y"]): r["rank"] for r in global_rank(nulls, ["x", "y"]).collect()} == {(None, "a"): 0, (2, "a"): 1, (2, "b"): 2}
+    assert global_rank(df.limit(0), ["x"]).collect() == []
+
+
 def test_nested_means_hours_and_clock(spark):
     df = spark.createDataFrame([("r0", 1, 1.0), ("r0", 2, 3.0), ("r1", 1, 5.0)], "rank string, batch int, v double")
     assert S.mean_of_means(df, "rank", "batch", "v").first()[0] == 3.5
