@@ -17,7 +17,9 @@ ORDINAL_ONES = ("", "první", "druhý", "třetí", "čtvrtý", "pátý", "šest
 ORDINAL_TENS = ("", "", "dvacátý", "třicátý", "čtyřicátý", "padesátý", "šedesátý", "sedmdesátý", "osmdesátý", "devadesátý")
 ORDINAL_HUNDREDS = ("", "stý", "dvoustý", "třístý", "čtyřstý", "pětistý", "šestistý", "sedmistý", "osmistý", "devítistý")
 HOURS_OF = ("", "jedné", "druhé", "třetí", "čtvrté", "páté", "šesté", "sedmé", "osmé", "deváté", "desáté", "jedenácté", "dvanácté")
-LINKERS = ("celé", "celých", "celá")
+LINKERS = ("celé", "celých", "celá", "celý")
+HOUR, MINUTE = ("hodina", "hodiny", "hodin"), ("minuta", "minuty", "minut")
+TENTHS = {1: ("desetina", "desetiny", "desetin"), 2: ("setina", "setiny", "setin"), 3: ("tisícina", "tisíciny", "tisícin")}
 
 
 def _below_thousand(n: int, gender: str = "") -> list[str]:
@@ -86,44 +88,72 @@ def leading_zeros(digits: str) -> list[str]:
     return [" ".join([*zeros, cardinal(int(rest))]), cardinal(int(rest))]
 
 
+def feminine(n: int) -> str:
+    """The number as it stands before a feminine noun."""
+    words = cardinal(n)
+    return words[:-3] + "dvě" if words.endswith("dva") else words
+
+
+def counted(n: int, noun: tuple[str, str, str]) -> str:
+    """The form of a noun that goes with the number."""
+    return noun[0] if n == 1 else noun[1] if n in (2, 3, 4) else noun[2]
+
+
+def joined_hundreds(words: str) -> str:
+    """Hundreds as one word."""
+    for h in HUNDREDS[2:]:
+        words = words.replace(h, h.replace(" ", ""))
+    return words
+
+
+def _distinct(texts: list[str]) -> list[str]:
+    return list(dict.fromkeys(texts))
+
+
 def decimal_variants(text: str) -> list[str]:
     """``w , d`` as whole, linker and fraction, all combinations; nothing for other texts."""
     whole, _, fraction = text.replace(" ", "").partition(",")
-    if not whole.isdigit() or not fraction.isdigit():
+    if not whole.isdigit() or not fraction.isdigit() or len(whole) > 12 or len(fraction) > 12:
         return []
-    heads = ["nula" if int(whole) == 0 else cardinal(int(whole))]
-    if int(whole) == 1:
-        heads.append("jedna")
-    tails = leading_zeros(fraction) if fraction.startswith("0") else variants(int(fraction))
-    unit = {1: ("desetina", "desetiny", "desetin", "desetiny"), 2: ("setina", "setiny", "setin", "setiny"), 3: ("tisícina", "tisíciny", "tisícin", "tisíciny")}.get(len(fraction), ())
-    out = [" ".join(w for w in p if w) for p in product(heads, (*LINKERS, ""), tails, ("", *dict.fromkeys(unit)))]
+    n, d = int(whole), int(fraction)
+    heads = [cardinal(n), feminine(n)] + {0: ["žádná"], 1: ["jeden"]}.get(n, [])
+    tails = leading_zeros(fraction) if fraction.startswith("0") else [*variants(d), feminine(d)]
+    units = ("", counted(d, TENTHS[len(fraction)])) if len(fraction) in TENTHS else ("",)
+    out = [" ".join(w for w in p if w) for p in product(_distinct(heads), (*LINKERS, ""), _distinct(tails), units)]
     if fraction in ("5", "50"):
         out += [f"{h} a půl" for h in heads]
-    return list(dict.fromkeys(out))
+    if not n and len(units) == 2:
+        out.append("jednu " + units[1][:-1] + "u" if d == 1 else f"{feminine(d)} {units[1]}")
+    return _distinct([w for o in out for w in (o, joined_hundreds(o))])
 
 
 def time_variants(text: str) -> list[str]:
     """``hh.mm`` as it may be spoken: 24 or 12 hours, with or without units, halves and quarters."""
     hours, _, minutes = text.replace("hodin", "").replace(" ", "").partition(".")
-    if not hours.isdigit() or not minutes.isdigit():
+    if not hours.isdigit() or not minutes.isdigit() or len(hours) > 2 or len(minutes) > 2:
         return []
     h, m = int(hours), int(minutes)
-    heads = [cardinal(h)] + ([cardinal(h % 12)] if h > 12 else []) + (leading_zeros(hours) if hours.startswith("0") else [])
-    tails = [cardinal(m)] + (leading_zeros(minutes) if minutes.startswith("0") else [])
+    heads = [(cardinal(h), h), (feminine(h), h), *((x, h) for x in inverted_tens(h))]
+    heads += [(w, h % 12) for w in (cardinal(h % 12), feminine(h % 12))] if h > 12 else []
+    heads += [(w, h) for w in leading_zeros(hours)] if hours.startswith("0") else []
+    tails = [cardinal(m), feminine(m), *inverted_tens(m), *(leading_zeros(minutes) if minutes.startswith("0") else [])]
     out = []
-    for head in dict.fromkeys(heads):
-        out += [head, f"{head} hodin"]
-        for tail in dict.fromkeys(tails):
-            out += [f"{head} {tail}", f"{head} hodin {tail} minut", f"{head} hodin {tail}"]
+    for head, n in heads:
+        out += [head, f"{head} hodin", f"{head} {counted(n, HOUR)}"]
+        for tail in _distinct(tails):
+            out += [f"{head} {tail}", f"{head} {tail} hodin"]
+            out += [f"{head} {hour} {link}{tail}{unit}" for hour in ("hodin", counted(n, HOUR)) for link in ("", "a ") for unit in ("", " minut", " " + counted(m, MINUTE))]
     coming = h % 12 + 1
-    onto = {1: "jednu", 2: "dvě"}.get(coming, cardinal(coming))
+    onto = {1: "jednu", 2: "dvě"}
+    if m == 0 and h % 12 == 1:
+        out.append("jednu hodinu")
     if m == 30:
         out += [f"půl {cardinal(coming)}", f"půl {HOURS_OF[coming]}"]
     if m == 15:
-        out.append(f"čtvrt na {onto}")
+        out.append(f"čtvrt na {onto.get(coming, cardinal(coming))}")
     if m == 45:
-        out.append(f"tři čtvrtě na {onto}")
-    return list(dict.fromkeys(out))
+        out += [f"{three} na {onto.get(coming, cardinal(coming))}" for three in ("tři čtvrtě", "tři čtvrti", "tří čtvrti")]
+    return _distinct(out)
 
 
 def ordinal(n: int) -> str:

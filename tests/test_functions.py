@@ -89,11 +89,18 @@ def test_numerals():
     assert "pětadvacet" in numerals.variants(25) and "pět a dvacet" in numerals.variants(25)
     assert "devatenáct set osmdesát devět" in numerals.variants(1989) and "dvacet čtrnáct" in numerals.variants(2014)
     assert numerals.leading_zeros("05") == ["nula pět", "pět"] and numerals.leading_zeros("00") == ["nula nula"]
-    t = numerals.time_variants("13.30")
-    assert {"třináct třicet", "jedna hodin třicet minut", "půl druhé", "půl dva", "třináct hodin"} <= set(t)
-    assert "čtvrt na deset" in numerals.time_variants("09.15") and "tři čtvrtě na jednu" in numerals.time_variants("12.45")
-    assert {"nula celá pět", "nula a půl"} <= set(numerals.decimal_variants("0 , 5"))
-    assert "tři celé čtrnáct setin" in numerals.decimal_variants("3,14") and numerals.decimal_variants("x") == []
+    clock = {
+        "12.45": ("dvanáct čtyřicet pět", "tří čtvrti na jednu", "dvanáct hodin čtyřicet pět minut"), "13.05": ("třináct nula pět", "třináct hodin nula pět minut", "třináct hodin pět minut"),
+        "13.02": ("třináct dvě", "třináct hodin dvě minuty"), "14.02": ("čtrnáct hodin a dvě minuty",), "13.00": ("třináct nula nula", "jednu hodinu"), "14.00": ("dvě hodiny", "čtrnáct hodin"),
+        "12.01": ("dvanáct hodin jedna minuta",), "12.30": ("půl jedné", "dvanáct třicet"), "17.30": ("půl šesté",), "11.15": ("čtvrt na dvanáct",),
+    }
+    assert all(set(said) <= set(numerals.time_variants(t)) for t, said in clock.items())
+    decimals = {
+        "0 , 0042": ("nula celá nula nula čtyřicet dva",), "9 , 209": ("devět celých dvěstě devět",), "0 , 1": ("jednu desetinu",), "0 , 3": ("žádná celá tři desetiny",), "1 , 4": ("jedna celá čtyři desetiny",),
+        "80 , 4": ("osmdesát celých čtyři desetiny",), "1 , 5": ("jeden a půl",), "2 , 5": ("dva a půl", "dvě a půl"), "2 , 1": ("dvě celé jedna desetina",), "2 , 7": ("dvě celé sedm desetin",), "0 , 00103": ("nula celá nula nula sto tři",),
+    }
+    assert all(set(said) <= set(numerals.decimal_variants(t)) for t, said in decimals.items())
+    assert numerals.time_variants("x") == [] and numerals.decimal_variants("x") == []
     assert [numerals.ordinal(n) for n in (1, 20, 34, 100, 215)] == ["první", "dvacátý", "třicátý čtvrtý", "stý", "dvoustý patnáctý"]
     with pytest.raises(ValueError):
         numerals.ordinal(1000)
