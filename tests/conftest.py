@@ -1,6 +1,7 @@
 import pytest
 
 from chronolex.session import local_session
+from chronolex.shared import clear
 
 
 @pytest.fixture(scope="session")
@@ -8,6 +9,7 @@ def spark():
     s = local_session(4, 4, "4g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear(s)
     s.stop()
 
 

@@ -12,5 +12,6 @@ def test_tables_live_in_the_folder_of_the_session(spark, tmp_path, monkeypatch):
     assert not [f for f in os.listdir(tmp_path / "chronolex") if not f.startswith(".")]
 
 
-def test_local_folder_where_none_is_configured(spark):
+def test_local_folder_where_none_is_configured(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_configured", lambda s: None)
     assert shared.shared_dir(spark).startswith("file:///")
