@@ -171,7 +171,7 @@ def reduced_other(spark: S, d: str) -> D:
 
 
 @query(f"""WITH {SEG}, a AS (SELECT DISTINCT recording, idx FROM seg), b AS (SELECT DISTINCT recording, idx FROM seg WHERE coverage >= 0.9)
-SELECT count(*) FILTER (WHERE b.recording IS NULL) AS only_left, count(*) FILTER (WHERE a.recording IS NULL) AS only_right, count(*) FILTER (WHERE a.recording IS NOT NULL AND b.recording IS NOT NULL) AS both FROM a FULL JOIN b USING (recording, idx)""".replace("b.recording IS NULL", "b.idx IS NULL").replace("a.recording IS NULL", "a.idx IS NULL").replace("a.recording IS NOT NULL AND b.recording IS NOT NULL", "a.idx IS NOT NULL AND b.idx IS NOT NULL"))
+SELECT count(*) FILTER (WHERE b.idx IS NULL) AS only_left, count(*) FILTER (WHERE a.idx IS NULL) AS only_right, count(*) FILTER (WHERE a.idx IS NOT NULL AND b.idx IS NOT NULL) AS both FROM a FULL JOIN b USING (recording, idx)""")
 def set_equality(spark: S, d: str) -> D:
     """Keys of two tables compared."""
     x = segments(spark, d)
