@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronolex.operators import batching, stats, timeline
 from chronolex.operators.ranking import global_rank
 from chronolex.plans.base import ALIGNED, SEG, WORDS, aligned, segments, words
-from chronolex.plans.joins import _BUCKETS, _GRID, _ISLES, _buckets, _islands, grid
+from chronolex.plans.joins import _BUCKETS, _GRID, _ISLES, _buckets, _islands, stretches
 from chronolex.plans.registry import query, table
 
 S = SparkSession
@@ -32,8 +32,8 @@ t AS (SELECT recording, idx, origin, 1 AS cnt, e - duration AS s, e FROM clock)"
 
 
 def _clock(spark: S, d: str) -> D:
-    x = timeline.running_clock(grid(spark, d), "recording", "idx")
-    return x.withColumn("cnt", F.lit(1).cast("long"))
+    """Stretches of the grid with start and end."""
+    return timeline.running_clock(stretches(spark, d), "recording", "idx")
 
 
 @query(_CLOCK + " SELECT recording, round(coalesce(sum(CASE WHEN origin = 0 THEN e - s END), 0), 3) AS missing, round(coalesce(sum(CASE WHEN origin = 1 THEN e - s END), 0), 3) AS fallback, round(coalesce(sum(CASE WHEN origin = 2 THEN e - s END), 0), 3) AS original FROM t GROUP BY recording")
@@ -46,7 +46,7 @@ def origin_durations(spark: S, d: str) -> D:
 @query(_CLOCK + " SELECT recording, idx, round(s, 3) AS start, round(e, 3) AS \"end\" FROM t")
 def running_clock(spark: S, d: str) -> D:
     """Durations laid end to end."""
-    return _clock(spark, d).select("recording", "idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+    return timeline.unfold(_clock(spark, d), "recording").select("recording", "idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
 def _runs(src: str, out: str, least: float, order: str = "idx") -> str:

@@ -198,15 +198,16 @@ u AS (SELECT recording, idx, s, f FROM s FULL JOIN f USING (recording, idx)), g
 grid AS (SELECT g.recording, g.idx, CASE WHEN f IS NOT NULL THEN 1 WHEN s IS NOT NULL THEN 2 ELSE 0 END AS origin, coalesce(f, s, 5.0) AS duration FROM g LEFT JOIN u ON u.recording = g.recording AND u.idx = g.idx)"""
 
 
-def grid(spark: S, d: str) -> D:
-    x = segments(spark, d).where("idx < 1000 and duration is not null")
-    return timeline.fallback_grid(x.where("type = 'train'"), x.where("type <> 'train'"), "recording", "idx", "duration")
+def stretches(spark: S, d: str) -> D:
+    """The grid of all indexes, an empty stretch as one row; the SQL keeps to indexes below 1000."""
+    x = segments(spark, d).where("duration is not null")
+    return timeline.fallback_stretches(x.where("type = 'train'"), x.where("type <> 'train'"), "recording", "idx", "duration")
 
 
 @query(f"WITH {SEG}, {_GRID} SELECT recording, idx, origin, duration FROM grid")
 def fallback_grid(spark: S, d: str) -> D:
     """Every index with its source: fallback before original, else missing."""
-    return grid(spark, d)
+    return timeline.unfold(stretches(spark, d), "recording").select("recording", "idx", "origin", "duration")
 
 
 @query(f"""WITH {SEG}, {_GRID}, m AS (SELECT recording, min(idx) AS a, max(idx) AS b FROM u GROUP BY recording), l AS (SELECT recording, unnest(range(a, b + 1)) AS idx FROM m)
@@ -214,7 +215,7 @@ SELECT l.recording, string_agg(CASE WHEN s IS NOT NULL AND f IS NOT NULL THEN CA
 FROM l LEFT JOIN u ON u.recording = l.recording AND u.idx = l.idx GROUP BY l.recording""")
 def recover_map(spark: S, d: str) -> D:
     """Which source has each index, as one line a recording."""
-    x = segments(spark, d).where("idx < 1000 and duration is not null")
+    x = segments(spark, d).where("duration is not null")
     s = x.where("type = 'train'")
     return timeline.recover_map(s, x.where("type <> 'train'").join(s.select("recording"), "recording", "left_semi"), "recording", "idx")
 
