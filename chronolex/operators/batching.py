@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from chronolex.operators.ranking import global_rank
 
@@ -13,24 +17,44 @@ from chronolex.operators.ranking import global_rank
 def greedy_bins(df: DataFrame, key: str, size: str, bins: int | None = None, threshold: float | None = None, group: list[str] | None = None, keep_last: bool = True) -> DataFrame:
     """(group..., bin, key, size): items in order of key; a bin closes with the item that reaches the threshold.
 
-    The threshold is given or the group's total over ``bins``. The order makes this a fold over the
-    sorted items of one group; split a large table into groups to run in parallel. The last,
-    unfilled bin is kept unless ``keep_last`` is False.
+    The threshold is given or the group's total over ``bins``. A fold over the sorted items runs
+    through a group in one task, a batch of rows at a time, and carries on only the open bin; the
+    sort spills. The last, unfilled bin is kept unless ``keep_last`` is False.
     """
     keys = group or []
-    x = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(size).cast("double").alias("s")))).alias("items"), F.sum(F.col(size).cast("double")).alias("total"))
-    limit = F.lit(float(threshold)) if threshold is not None else F.col("total") / bins
-    start = F.struct(F.lit(0.0).alias("acc"), F.lit(0).alias("bin"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, item: Column) -> Column:
-        acc = a["acc"] + item["s"]
-        full = acc >= limit
-        return F.struct(F.when(full, 0.0).otherwise(acc).alias("acc"), F.when(full, a["bin"] + 1).otherwise(a["bin"]).alias("bin"), F.concat(a["out"], F.array(a["bin"])).alias("out"))
-
-    x = x.withColumn("fold", F.aggregate("items", start, step))
-    x = x.select(*keys, F.col("fold.bin").alias("open"), F.explode(F.arrays_zip(F.col("items").alias("i"), F.col("fold.out").alias("b"))).alias("z"))
-    x = x.select(*keys, F.col("z.b").cast("long").alias("bin"), F.col("z.i.k").alias(key), F.col("z.i.s").alias(size), "open")
-    return (x if keep_last else x.where(F.col("bin") < F.col("open"))).drop("open")
+    x = df.select(*keys, F.col(key), F.col(size).cast("double").alias(size))
+    if threshold is not None:
+        x = x.withColumn("__limit", F.lit(float(threshold)))
+    else:
+        totals = df.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg((F.sum(F.col(size).cast("double")) / bins).alias("__limit"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        x = x.join(totals, same).select(*x.columns, "__limit")
+    x = (x.repartition(*keys) if keys else x.repartition(1)).sortWithinPartitions(*keys, key, size)
+    fields = [*x.drop("__limit").schema.fields, StructField("bin", LongType()), StructField("__full", BooleanType())]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, acc, n = None, 0.0, 0
+        for batch in batches:
+            groups = zip(*(batch.column(k).to_pylist() for k in keys)) if keys else itertools.repeat(())
+            out, closed = [], []
+            for g, s, limit in zip(groups, batch.column(size).to_pylist(), batch.column("__limit").to_pylist()):
+                if g != at:
+                    at, acc, n = g, 0.0, 0
+                acc = None if acc is None or s is None else acc + s
+                full = acc is not None and limit is not None and acc >= limit
+                out.append(n)
+                closed.append(full)
+                if full:
+                    acc, n = 0.0, n + 1
+            kept = [c for c in batch.schema.names if c != "__limit"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.int64()), pa.array(closed, pa.bool_())], names=[*kept, "bin", "__full"])
+
+    x = x.mapInArrow(fold, StructType(fields))
+    if not keep_last:
+        x = x.withColumn("__open", F.count_if("__full").over(Window.partitionBy(*(keys or [F.lit(1)])))).where(F.col("bin") < F.col("__open"))
+    return x.select(*keys, "bin", key, size)
 
 
 def flush_chunks(df: DataFrame, key: str, frames: str, buffer: int, group: list[str] | None = None) -> DataFrame:

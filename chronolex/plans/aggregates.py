@@ -157,7 +157,8 @@ _FOLD = lambda limit: f"f(type, rn, acc, bin) AS (SELECT type, 0, 0, 0 FROM (SEL
 
 
 def _items(spark: S, d: str) -> D:
-    return segments(spark, d).where("type not in ('train', 'other')").select("type", F.concat_ws("/", "recording", F.col("idx").cast("string")).alias("k"), F.col("words").alias("s"))
+    """Segments of all types; the SQL leaves train and other out."""
+    return segments(spark, d).select("type", F.concat_ws("/", "recording", F.col("idx").cast("string")).alias("k"), F.col("words").alias("s"))
 
 
 @query(f"WITH RECURSIVE {SEG}, {_ITEMS}, {_FOLD('i.total / 4.0')} SELECT i.type, CAST(p.bin AS BIGINT) AS bin, i.k, CAST(i.s AS DOUBLE) AS s FROM items i JOIN f p ON p.type = i.type AND p.rn = i.rn - 1")

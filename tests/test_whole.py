@@ -39,3 +39,20 @@ def test_grid_of_far_indexes(spark, got, segments):
     assert got(aggregates.merge_runs(spark, "")) == runs
     assert got(aggregates.merge_runs_constrained(spark, "")) == [r[:5] + (0,) for r in runs]
     assert got(aggregates.two_stage_merge(spark, ""), "recording", "run", "cnt") == [("a", 1, 9000), ("a", 2, 2), ("a", 3, 1), ("a", 4, 1), ("b", 1, 1), ("b", 2, 1)]
+
+
+def test_bins_of_all_types(spark, got, segments):
+    rows = [("a", i, t, 1.0, (7 * i) % 40) for t in ("train", "other", "context_dev") for i in range(300)]
+    segments(rows)
+    bins, files = [], []
+    for t in ("train", "other", "context_dev"):
+        items = sorted((f"{r}/{i}", w) for r, i, kind, _, w in rows if kind == t)
+        for out, limit in ((bins, sum(w for _, w in items) / 4), (files, 100)):
+            acc = n = 0
+            for k, w in items:
+                out.append((t, n, k, float(w)))
+                acc += w
+                if acc >= limit:
+                    acc, n = 0, n + 1
+    assert got(aggregates.greedy_bins(spark, "")) == sorted(bins, key=repr)
+    assert got(aggregates.flush_chunks(spark, "")) == sorted(files, key=repr)
