@@ -206,8 +206,8 @@ def sort_reindex(spark: S, d: str) -> D:
 
 @query(f"WITH {SEG}, f AS (SELECT recording, idx, unnest(range(0, words)) AS frame FROM seg WHERE idx < 20) SELECT recording, idx, frame, recording || '/' || CAST(idx AS VARCHAR) || '/' || CAST(frame AS VARCHAR) AS path FROM f")
 def frame_ids(spark: S, d: str) -> D:
-    """Frames numbered inside their segment."""
-    x = segments(spark, d).where("idx < 20 and words > 0").select("recording", "idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - 1)).alias("frame"))
+    """Frames numbered inside their segment, of all segments; the SQL keeps to indexes below 20."""
+    x = segments(spark, d).where("words > 0").select("recording", "idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - 1)).alias("frame"))
     return x.withColumn("path", F.concat_ws("/", "recording", F.col("idx").cast("string"), F.col("frame").cast("string")))
 
 

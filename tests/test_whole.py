@@ -56,3 +56,9 @@ def test_bins_of_all_types(spark, got, segments):
                     acc, n = 0, n + 1
     assert got(aggregates.greedy_bins(spark, "")) == sorted(bins, key=repr)
     assert got(aggregates.flush_chunks(spark, "")) == sorted(files, key=repr)
+
+
+def test_frames_of_far_segments(spark, got, segments):
+    segments([("a", 3, "train", 1.0, 2), ("a", 20, "train", 1.0, 1), ("a", 10_000_000, "other", 1.0, 3), ("b", 50, "other", 1.0, 0)])
+    want = [("a", i, f, f"a/{i}/{f}") for i, n in ((3, 2), (20, 1), (10_000_000, 3)) for f in range(n)]
+    assert got(aggregates.frame_ids(spark, "")) == sorted(want, key=repr)
