@@ -1,22 +1,24 @@
 """Groups of mutually similar label sequences by density peaks: problem 6.
 
 Two records are similar when neither is more than ``max_ratio`` times as long as the other and
-a longest common subsequence covers ``min_share`` of the shorter. No pairs are enumerated to
-find the groups:
-
-* blocks: a record falls into one block for each n-gram of its run-collapsed sequence;
-* density: the number of block mates over all its blocks, from the block sizes alone;
-* nearest denser record: inside each block (cut into salted parts, so a hot block is many
-  tasks) a record is compared with the next denser one of its part, the densest of its part and
-  the densest of the whole block. Each comparison is an exact subsequence length;
+a longest common subsequence covers ``min_share`` of the shorter. No similar pair is lost:
+
+* blocks: the records in order of length, ``part`` a block; two blocks meet unless every record
+  of one is more than ``max_ratio`` times as long as all of the other;
+* filter: the labels two records have in common, in whatever order, bound their subsequence from
+  above; one matrix product bounds all pairs of two blocks. What is left is compared exactly;
+* density: the number of similar records;
 * peaks have no similar denser record; the others follow their pointers, by pointer doubling,
   to the peak that names their cluster.
 
-The work is linear in the n-grams, also when a third of all records are renderings of one take.
+The products grow with the square of the number of records, the exact comparisons with the
+number of pairs that have their labels in common.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolex.operators.ranking import global_rank
 from chronolex.shared import materialise
 
-GRAM = 4
 PART = 1024
+#: Labels counted apart in the filter, and how many of each; what lies beyond is bounded together.
+LABELS, TIMES = 512, 12
 
 
 def label_sequences(df: DataFrame, *, key: Column, position: Column, label: Column, version: Column | None = None, min_held: int = 25, max_slip: int = 2) -> DataFrame:
@@ -89,7 +93,7 @@ def share_in_common(a: np.ndarray, b: np.ndarray, min_share: float, max_ratio: f
     if short == 0 or long > max_ratio * short:
         return 0.0
     top = 1 + max(int(a.max()), int(b.max()))
-    if np.minimum(np.bincount(a, minlength=top), np.bincount(b, minlength=top)).sum() < min_share * short:
+    if np.minimum(np.bincount(a, minlength=top), np.bincount(b, minlength=top)).sum() < min_share * short - 1e-6:
         return 0.0  # labels in common, in whatever order, bound the subsequence from above
     return common_length(a, b) / short
 
@@ -105,51 +109,68 @@ def with_shares(pairs: DataFrame, min_share: float, max_ratio: float) -> DataFra
     return pairs.mapInPandas(run, "a string, b string, share double").where(F.col("share") >= min_share)
 
 
-def sequence_blocks(seqs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(id, block): a hash of each distinct n-gram of the run-collapsed sequence.
+def length_blocks(seqs: DataFrame, part: int = PART) -> DataFrame:
+    """(block, lo, hi, keys, data): ``part`` sequences that are next in length, none of them empty, and their shortest and longest."""
+    x = global_rank(seqs.select("key", "seq", F.size("seq").cast("long").alias("size")).where("size > 0"), ["size", "key"], "rank")
+    x = x.groupBy(F.floor(F.col("rank") / part).alias("block")).agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.collect_list(F.struct("key", "seq")).alias("s"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            data = []
+            for seqs in pdf["s"]:
+                labels = [np.asarray(r["seq"], np.int32) for r in seqs]
+                data.append(zlib.compress(np.concatenate([np.array([len(labels)] + [len(v) for v in labels], np.int32), *labels]).tobytes(), 1))
+            yield pdf[["block", "lo", "hi"]].assign(keys=[[r["key"] for r in seqs] for seqs in pdf["s"]], data=data)
+
+    return x.mapInPandas(pack, "block long, lo long, hi long, keys array<string>, data binary")
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """The sequences of a block."""
+    x = np.frombuffer(zlib.decompress(data), np.int32)
+    return np.split(x[1 + x[0] :], np.cumsum(x[1 : x[0]]))
 
-    Sequences of fewer runs than ``gram`` fall into the block of the whole sequence.
-    """
+
+def label_levels(seqs: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each sequence, whether it has a label once, twice, ... ``TIMES`` times, and how many labels it has beyond."""
+    n = min(len(labels), LABELS)
+    row = np.repeat(np.arange(len(seqs)), [len(v) for v in seqs])
+    count = np.bincount(row * n + np.searchsorted(labels, np.concatenate(seqs)) % n, minlength=len(seqs) * n).reshape(len(seqs), n)
+    return np.concatenate([count > k for k in range(TIMES)], 1).astype(np.float32), np.maximum(count - TIMES, 0).sum(1)
+
+
+def candidates(x: list[np.ndarray], y: list[np.ndarray], min_share: float, max_ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all pairs that length and labels in common do not rule out."""
+    labels = np.unique(np.concatenate([*x, *y]))
+    (u, more_u), (v, more_v) = label_levels(x, labels), label_levels(y, labels)
+    used = u.any(0) & v.any(0)
+    common = u[:, used] @ v[:, used].T + np.minimum.outer(more_u, more_v)
+    m, n = np.array([len(s) for s in x])[:, None], np.array([len(s) for s in y])[None, :]
+    short = np.minimum(m, n)
+    return np.nonzero((np.maximum(m, n) <= max_ratio * short) & (common >= min_share * short - 1e-3))
+
+
+def similar_pairs(seqs: DataFrame, *, min_share: float = 0.65, max_ratio: float = 2.0, part: int = PART) -> DataFrame:
+    """(a, b, share), a < b: all similar pairs of ``seqs`` (key, seq), each checked exactly."""
+    blocks = materialise(length_blocks(seqs, part), "blocks")
+    i, j = (blocks.select(F.col("block").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}")) for n in "ij")
+    meet = materialise(i.join(j, (F.col("i") <= F.col("j")) & (F.col("lo_j") <= F.col("hi_i") * max_ratio)).select("i", "j"), "meet")
+    tasks = max(1, math.ceil(meet.count() / 8))
+    i, j = (blocks.select(F.col("block").alias(n), F.col("keys").alias(f"keys_{n}"), F.col("data").alias(f"data_{n}")) for n in "ij")
+    x = meet.join(i, "i").join(j, "j").repartition(tasks, "i", "j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, blocks = [], []
-            for key, seq in zip(pdf["key"], pdf["seq"]):
-                s = np.asarray(seq, dtype=np.uint64)
-                if not len(s):
-                    continue
-                s = s[np.append(True, s[1:] != s[:-1])]
-                n = min(gram, len(s))
-                h = np.full(len(s) - n + 1, n, np.uint64)
-                for i in range(n):
-                    h = (h ^ s[i : len(s) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-                h = np.unique(h)
-                ids.append(np.full(len(h), key, object))
-                blocks.append(h.astype(np.int64))
-            if ids:
-                yield pd.DataFrame({"id": np.concatenate(ids), "block": np.concatenate(blocks)})
-
-    return seqs.mapInPandas(run, "id string, block long")
-
-
-def nearest_denser(blocks: DataFrame, part: int = PART) -> tuple[DataFrame, DataFrame]:
-    """(id, density) and the candidate pairs (a, b), b denser than a, of the blocks."""
-    x = blocks.repartition("block")
-    sizes = x.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(x.join(sizes.hint("shuffle_hash"), "block"), "blocks")
-    density = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("density"))
-    x = shared.join(density, "id").withColumn("rank", F.struct("density", "id"))
-    x = x.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / part)))
-    w = Window.partitionBy("block", "part").orderBy(F.col("density").desc(), F.col("id").desc())
-    x = x.select("id", "block", "n", F.lag("id").over(w).alias("next"), F.first("id").over(w).alias("top"))
-    near = x.select(F.col("id").alias("a"), F.explode(F.array("next", "top")).alias("b"))
-    tops = x.where("n > %d and next is null" % part).select("id", "block")
-    tops = tops.join(density, "id")
-    best = tops.groupBy("block").agg(F.max_by("id", F.struct("density", "id")).alias("b"))
-    far = tops.select(F.col("id").alias("a"), "block").join(best, "block").select("a", "b")
-    pairs = near.unionByName(far).where("b is not null and a <> b").distinct()
-    return density, pairs
+            for r in pdf.itertuples(index=False):
+                x, y, out = unpacked(r.data_i), unpacked(r.data_j), []
+                for p, q in zip(*(at.tolist() for at in candidates(x, y, min_share, max_ratio))):
+                    if r.i != r.j or p < q:
+                        share = share_in_common(x[p], y[q], min_share, max_ratio)
+                        if share >= min_share:
+                            out.append((*sorted((r.keys_i[p], r.keys_j[q])), share))
+                yield pd.DataFrame(out, columns=["a", "b", "share"])
+
+    return x.mapInPandas(run, "a string, b string, share double")
 
 
 def follow(pointers: DataFrame, rounds: int = 64) -> DataFrame:
@@ -166,19 +187,19 @@ def follow(pointers: DataFrame, rounds: int = 64) -> DataFrame:
     return pointers.withColumnRenamed("up", "root")
 
 
-def density_clusters(seqs: DataFrame, *, min_share: float = 0.65, max_ratio: float = 2.0, gram: int = GRAM, part: int = PART) -> DataFrame:
+def density_clusters(seqs: DataFrame, *, min_share: float = 0.65, max_ratio: float = 2.0, part: int = PART) -> DataFrame:
     """(id, cluster, density long): every key of ``seqs`` (key, seq) with its cluster's peak.
 
     Keys without a similar record are clusters of their own, those with an empty sequence too.
     Equal sequences under several keys are similar records; ties in density go to the larger key.
     An empty table gives an empty result.
     """
-    density, pairs = nearest_denser(sequence_blocks(seqs, gram), part)
-    density = materialise(density, "density")
-    a, b = (seqs.select(F.col("key").alias(n), F.col("seq").alias(f"seq_{n}")) for n in "ab")
-    close = with_shares(pairs.join(a, "a").join(b, "b"), min_share, max_ratio)
-    close = close.join(density.select(F.col("id").alias("b"), F.col("density")), "b")
-    up = close.groupBy("a").agg(F.max_by("b", F.struct("share", "density", "b")).alias("up"))
+    pairs = materialise(similar_pairs(seqs, min_share=min_share, max_ratio=max_ratio, part=part), "pairs")
+    close = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
+    density = materialise(close.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("density")), "density")
+    a, b = (density.select(F.col("id").alias(n), F.col("density").alias(f"density_{n}")) for n in "ab")
+    close = close.join(a, "a").join(b, "b").where(F.struct("density_b", "b") > F.struct("density_a", "a"))
+    up = close.groupBy("a").agg(F.max_by("b", F.struct("share", "density_b", "b")).alias("up"))
     up = materialise(seqs.select(F.col("key").alias("id")).join(up, F.col("a") == F.col("id"), "left").select("id", F.coalesce("up", "id").alias("up")), "pointers")
     linked = up.where("id <> up")
     tree = linked.unionByName(linked.select(F.col("up").alias("id")).distinct().join(linked.select("id"), "id", "left_anti").withColumn("up", F.col("id")))

@@ -74,8 +74,7 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of segments that are renderings of one take."""
-    seqs = _sequences(spark, sf_dir)
-    pairs = clusters.cluster_pairs(clusters.density_clusters(seqs), seqs)
+    pairs = clusters.similar_pairs(_sequences(spark, sf_dir))
     return pairs.select(F.col("a").alias("segm_a"), F.col("b").alias("segm_b"))
 
 
