@@ -169,7 +169,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments and recordings of each new side, with the share of segments it got."""
     x = _split(spark, sf_dir).select("recording", "segment_index__segments", "component", "side").distinct()
-    x = x.groupBy("side").agg(F.count("*").alias("segments"), F.approx_count_distinct("component").alias("components"))
+    x = x.groupBy("side", "component").agg(F.count("*").alias("n")).groupBy("side").agg(F.sum("n").alias("segments"), F.count("component").alias("components"))
     x = x.withColumn("total", F.sum("segments").over(Window.partitionBy(F.lit(1))))  # three rows
     t = table(spark, sf_dir, "split_targets").select(F.col("side").alias("s"), "target_share")
     x = x.join(t, F.col("s") == F.col("side"))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from chronolex.llm import queries as Q
 
 
@@ -17,3 +19,12 @@ def test_repeats_spread_over_lines(spark, got, monkeypatch):
     tables(spark, monkeypatch, docs, "doc_id string, text string")
     assert got(Q.p10_found(spark, "")) == [("spread",)]
     assert Q.p10_shares(spark, "").where("doc_id = 'spread'").first()["boilerplate_lines"] == 0
+
+
+def test_components_of_a_side_are_counted(spark, monkeypatch):
+    """More components than an approximate count gets right."""
+    split = spark.range(30000).select(F.col("id").cast("string").alias("recording"), F.col("id").cast("double").alias("segment_index__segments"), (F.col("id") / 2).cast("long").alias("component"), F.when(F.col("id") < 20000, "train").otherwise("dev").alias("side"))
+    monkeypatch.setattr(Q, "_split", lambda s, d: split)
+    tables(spark, monkeypatch, [("train", 0.9), ("dev", 0.1)], "side string, target_share double")
+    out = {x["side"]: (x["segments"], x["components"]) for x in Q.p3_sides(spark, "").collect()}
+    assert out == {"train": (20000, 10000), "dev": (10000, 5000)}
