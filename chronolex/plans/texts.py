@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.functions import align, numerals
@@ -188,11 +188,17 @@ def normalise_transcript(spark: S, d: str) -> D:
     return _transcripts(spark, d).select("recording", "part", transcripts.normalise_transcript(F.col("gold"), F.col("heard")).alias("text"))
 
 
+def _spelt(c: str) -> Column:
+    """Digits as a number where words go so far, else null."""
+    n = F.col(c).try_cast("long")
+    return F.when(n < 10**12, n)
+
+
 @query()
 def cardinal_words(spark: S, d: str) -> D:
-    """Numbers of a text in words."""
-    x = table(spark, d, "documents").select("doc_id", F.explode(T.find_digits(F.col("text"))).alias("n")).where("length(n) < 10")
-    return x.select("doc_id", "n", numerals.cardinal_words(F.col("n").cast("long")).alias("words")).distinct()
+    """Numbers of a text in words, null from 10**12 on."""
+    x = table(spark, d, "documents").select("doc_id", F.explode(T.find_digits(F.col("text"))).alias("n"))
+    return x.select("doc_id", "n", numerals.cardinal_words(_spelt("n")).alias("words")).distinct()
 
 
 @query()
@@ -229,8 +235,8 @@ def find_order(spark: S, d: str) -> D:
 
 @query()
 def rank_candidates(spark: S, d: str) -> D:
-    """The spoken forms of a number nearest to what was heard."""
+    """The spoken forms of a number nearest to what was heard, null from 10**12 on."""
     x = _transcripts(spark, d).where(F.col("gold").rlike(r"\d"))
-    x = x.select("recording", "part", "heard", F.explode(T.find_digits(F.col("gold"))).alias("n")).where("length(n) < 10")
-    x = x.withColumn("variants", numerals.number_variants(F.col("n").cast("long")))
+    x = x.select("recording", "part", "heard", F.explode(T.find_digits(F.col("gold"))).alias("n"))
+    x = x.withColumn("variants", numerals.number_variants(_spelt("n")))
     return x.select("recording", "part", "n", align.ranked(F.col("variants"), F.col("heard"), 2).alias("ranked"))
