@@ -59,6 +59,40 @@ def range_join(points: DataFrame, ranges: DataFrame, on: list[str], position: st
     return p.join(r, [*on, "__bin"]).where(F.col(position).between(F.col(start), F.col(end))).drop("__bin")
 
 
+def interval_join(points: DataFrame, ranges: DataFrame, on: list[str], position: str, start: str, end: str, least: float = 1.0) -> DataFrame:
+    """Points inside the closed ranges of the same keys, on bins whose width suits each range.
+
+    A range is laid on bins of the power of two that is next above its length (never below
+    ``least``), so it covers two of them at most; a point meets one bin of every width that occurs
+    in the ranges. Widths are powers of two, so few occur however the lengths differ. The join is on
+    (keys, width, bin). Ranges that end before they start, null and NaN bounds or positions match
+    nothing.
+    """
+    length = F.greatest((F.col(end) - F.col(start)).cast("double"), F.lit(float(least)))
+    width = F.pow(F.lit(2.0), F.ceil(F.log2(length)))
+    sane = ~F.isnan(F.col(start).cast("double")) & ~F.isnan(F.col(end).cast("double"))
+    r = ranges.where((F.col(start) <= F.col(end)) & sane).withColumn("__w", width)
+    r = r.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("__w")), F.floor(F.col(end) / F.col("__w")))))
+    widths = [row[0] for row in r.select("__w").distinct().collect()]
+    p = points.where(F.col(position).isNotNull() & ~F.isnan(F.col(position).cast("double"))).withColumn("__w", F.explode(F.array(*map(F.lit, widths)) if widths else F.array().cast("array<double>")))
+    p = p.withColumn("__bin", F.floor(F.col(position) / F.col("__w")))
+    return p.join(r, [*on, "__w", "__bin"]).where(F.col(position).between(F.col(start), F.col(end))).drop("__w", "__bin")
+
+
+def theta_join(left: DataFrame, right: DataFrame, on: list[str], condition: Column, hint: str = "shuffle_hash") -> DataFrame:
+    """Rows agreeing in ``on`` for which ``condition`` holds too.
+
+    The join is on the keys by the physical way ``hint`` names (merge, shuffle_hash), the condition is a
+    filter inside it: no product of the tables, only of what shares a key. ``on`` may not be empty.
+    """
+    if not on:
+        raise ValueError("a theta join without an equal key would be a product of the tables")
+    same = F.lit(True)
+    for k in on:
+        same = same & (left[k] == right[k])
+    return left.join(right.hint(hint), same & condition).drop(*(right[k] for k in on))
+
+
 def as_of_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, value: str, out: str) -> DataFrame:
     """Each left row with the value of the latest right row not after it (union and last-known)."""
     l = left.select(*left.columns, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))

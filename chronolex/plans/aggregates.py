@@ -27,8 +27,8 @@ def collect_segments(spark: S, d: str) -> D:
     return segments(spark, d).groupBy("recording").agg(F.sort_array(F.collect_list("idx")).alias("ids"))
 
 
-_CLOCK = f"""WITH {SEG}, {_GRID}, clock AS (SELECT recording, idx, origin, duration, sum(duration) OVER (PARTITION BY recording ORDER BY idx ROWS UNBOUNDED PRECEDING) AS e FROM grid),
-t AS (SELECT recording, idx, origin, 1 AS cnt, e - duration AS s, e FROM clock)"""
+_CLOCK = f"""WITH {SEG}, {_GRID}, clock AS (SELECT recording, idx, cnt, origin, duration, sum(duration) OVER (PARTITION BY recording ORDER BY idx ROWS UNBOUNDED PRECEDING) AS e FROM grid),
+t AS (SELECT recording, idx, origin, cnt, e - duration AS s, e FROM clock)"""
 
 
 def _clock(spark: S, d: str) -> D:
@@ -43,10 +43,10 @@ def origin_durations(spark: S, d: str) -> D:
     return x.select("recording", *(F.round(c, 3).alias(c) for c in ("missing", "fallback", "original")))
 
 
-@query(_CLOCK + " SELECT recording, idx, round(s, 3) AS start, round(e, 3) AS \"end\" FROM t")
+@query(_CLOCK + " SELECT recording, idx, cnt, round(s, 3) AS start, round(e, 3) AS \"end\" FROM t")
 def running_clock(spark: S, d: str) -> D:
-    """Durations laid end to end."""
-    return timeline.unfold(_clock(spark, d), "recording").select("recording", "idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+    """Durations laid end to end; ``cnt`` missing indexes in a row are one stretch."""
+    return _clock(spark, d).select("recording", "idx", "cnt", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
 def _runs(src: str, out: str, least: float, order: str = "idx") -> str:
@@ -152,12 +152,12 @@ def mean_of_means(spark: S, d: str) -> D:
     return stats.mean_of_means(segments(spark, d), "type", "recording", "coverage").select(F.round("mean_of_means", 9).alias("mean_of_means"))
 
 
-_ITEMS = f"items AS (SELECT type, recording || '/' || CAST(idx AS VARCHAR) AS k, words AS s, row_number() OVER (PARTITION BY type ORDER BY recording || '/' || CAST(idx AS VARCHAR)) AS rn, sum(words) OVER (PARTITION BY type) AS total FROM seg WHERE type <> 'train' AND type <> 'other')"
+_ITEMS = f"items AS (SELECT type, recording || '/' || CAST(idx AS VARCHAR) AS k, words AS s, row_number() OVER (PARTITION BY type ORDER BY recording || '/' || CAST(idx AS VARCHAR)) AS rn, sum(words) OVER (PARTITION BY type) AS total FROM seg)"
 _FOLD = lambda limit: f"f(type, rn, acc, bin) AS (SELECT type, 0, 0, 0 FROM (SELECT DISTINCT type FROM items) UNION ALL SELECT i.type, CAST(i.rn AS INT), CAST(CASE WHEN f.acc + i.s >= {limit} THEN 0 ELSE f.acc + i.s END AS INT), CASE WHEN f.acc + i.s >= {limit} THEN f.bin + 1 ELSE f.bin END FROM f JOIN items i ON i.type = f.type AND i.rn = f.rn + 1)"
 
 
 def _items(spark: S, d: str) -> D:
-    """Segments of all types; the SQL leaves train and other out."""
+    """Segments of all types."""
     return segments(spark, d).select("type", F.concat_ws("/", "recording", F.col("idx").cast("string")).alias("k"), F.col("words").alias("s"))
 
 
@@ -200,13 +200,14 @@ def group_transform(spark: S, d: str) -> D:
 @query(f"WITH {SEG} SELECT recording, idx, row_number() OVER (PARTITION BY type ORDER BY recording, idx) - 1 AS id, type FROM seg")
 def sort_reindex(spark: S, d: str) -> D:
     """New row ids in order, a sequence for each type."""
-    w = Window.partitionBy("type").orderBy("recording", "idx")
-    return segments(spark, d).select("recording", "idx", (F.row_number().over(w) - 1).cast("long").alias("id"), "type")
+    x = global_rank(segments(spark, d).select("recording", "idx", "type"), ["type", "recording", "idx"], "at")
+    first = x.groupBy(F.col("type").alias("t")).agg(F.min("at").alias("first"))
+    return x.join(first, F.col("type").eqNullSafe(F.col("t"))).select("recording", "idx", (F.col("at") - F.col("first")).alias("id"), "type")
 
 
-@query(f"WITH {SEG}, f AS (SELECT recording, idx, unnest(range(0, words)) AS frame FROM seg WHERE idx < 20) SELECT recording, idx, frame, recording || '/' || CAST(idx AS VARCHAR) || '/' || CAST(frame AS VARCHAR) AS path FROM f")
+@query(f"WITH {SEG}, f AS (SELECT recording, idx, unnest(range(0, words)) AS frame FROM seg) SELECT recording, idx, frame, recording || '/' || CAST(idx AS VARCHAR) || '/' || CAST(frame AS VARCHAR) AS path FROM f")
 def frame_ids(spark: S, d: str) -> D:
-    """Frames numbered inside their segment, of all segments; the SQL keeps to indexes below 20."""
+    """Frames numbered inside their segment, of all segments."""
     x = segments(spark, d).where("words > 0").select("recording", "idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - 1)).alias("frame"))
     return x.withColumn("path", F.concat_ws("/", "recording", F.col("idx").cast("string"), F.col("frame").cast("string")))
 

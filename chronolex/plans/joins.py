@@ -63,22 +63,33 @@ def cardinal_forms(spark: S, d: str) -> D:
     return inflected(spark.createDataFrame(LEMMAS, "lemma string, form string, cas string, gen string, num string"), 122)
 
 
-#: Which genders a code of the tag set may stand for, and which numbers.
-GENDERS = {"fem": "HFQTX", "masc_i": "ZXYTI", "masc_a": "ZXYM", "neut": "ZXQNH"}
-NUMBERS = {"pl": "DPX", "sing": "DSXW"}
+#: The codes of the tag set that may stand for a gender, and for a number.
+GENDERS = {
+    "fem": ["H", "F", "Q", "T", "X"],
+    "masc_i": ["Z", "X", "Y", "T", "I"],
+    "masc_a": ["Z", "X", "Y", "M"],
+    "neut": ["Z", "X", "Q", "N", "H"],
+}
+NUMBERS = {"pl": ["D", "P", "X"], "sing": ["D", "S", "X", "W"]}
+_TAGS = [("a", "X", "F", "S"), ("b", "3", "T", "X"), ("c", "1", "Q", "D"), ("d", "2", None, "P"), ("e", "4", "", "S"), ("f", "5", "F", "")]
 
 
-@query("""WITH t(form, cas, gen, num) AS (VALUES ('a', 'X', 'F', 'S'), ('b', '3', 'T', 'X'), ('c', '1', 'Q', 'D'), ('d', '2', NULL, 'P')),
+def _meanings(spark: S, codes: dict[str, list[str]], name: str, code: str) -> D:
+    """One row a code and what it may mean."""
+    return spark.createDataFrame([(c, meaning) for meaning, cs in codes.items() for c in cs], f"{code} string, {name} string")
+
+
+@query("""WITH t(form, cas, gen, num) AS (VALUES ('a', 'X', 'F', 'S'), ('b', '3', 'T', 'X'), ('c', '1', 'Q', 'D'), ('d', '2', NULL, 'P'), ('e', '4', '', 'S'), ('f', '5', 'F', '')),
 g(gender, code) AS (VALUES ('fem','H'),('fem','F'),('fem','Q'),('fem','T'),('fem','X'),('masc_i','Z'),('masc_i','X'),('masc_i','Y'),('masc_i','T'),('masc_i','I'),('masc_a','Z'),('masc_a','X'),('masc_a','Y'),('masc_a','M'),('neut','Z'),('neut','X'),('neut','Q'),('neut','N'),('neut','H')),
 n(number, code) AS (VALUES ('pl','D'),('pl','P'),('pl','X'),('sing','D'),('sing','S'),('sing','X'),('sing','W')), c AS (SELECT CAST(unnest(range(1, 8)) AS VARCHAR) AS c)
 SELECT form, c.c AS cas, gender, number FROM t JOIN g ON coalesce(gen, 'X') = g.code JOIN n ON coalesce(num, 'X') = n.code JOIN c ON t.cas = 'X' OR t.cas = c.c""")
 def tag_expand(spark: S, d: str) -> D:
-    """One row for each case, gender and number a tag may mean."""
-    t = spark.createDataFrame([("a", "X", "F", "S"), ("b", "3", "T", "X"), ("c", "1", "Q", "D"), ("d", "2", None, "P")], "form string, cas string, gen string, num string")
-    meant = lambda c, table: F.array_compact(F.array(*(F.when(F.lit(codes).contains(F.coalesce(c, F.lit("X"))), F.lit(name)) for name, codes in table.items())))
+    """One row for each case, gender and number a tag may mean; an empty or unknown code means none."""
     cases = F.when(F.col("cas") == "X", F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: i.cast("string"))).otherwise(F.array("cas"))
-    t = t.withColumn("cas", F.explode(cases)).withColumn("gender", F.explode(meant(F.col("gen"), GENDERS)))
-    return t.withColumn("number", F.explode(meant(F.col("num"), NUMBERS))).select("form", "cas", "gender", "number")
+    t = spark.createDataFrame(_TAGS, "form string, cas string, gen string, num string")
+    t = t.select("form", F.explode(cases).alias("cas"), F.coalesce("gen", F.lit("X")).alias("gen"), F.coalesce("num", F.lit("X")).alias("num"))
+    t = t.join(_meanings(spark, GENDERS, "gender", "gen"), "gen").join(_meanings(spark, NUMBERS, "number", "num"), "num")
+    return t.select("form", "cas", "gender", "number")
 
 
 _ISLES = f"""WITH {SEG}, i AS (SELECT recording, min(idx) AS "start", max(idx) AS "end", count(*) AS cnt FROM (SELECT recording, idx, idx - row_number() OVER (PARTITION BY recording ORDER BY idx) AS run FROM seg) GROUP BY recording, run)"""
@@ -92,7 +103,7 @@ def _islands(spark: S, d: str) -> D:
 FROM i JOIN seg ON seg.recording = i.recording AND idx BETWEEN i."start" AND i."end" GROUP BY 1, 2, 3""")
 def run_sums(spark: S, d: str) -> D:
     """Words, characters and hours of each run of consecutive segments."""
-    x = rel.range_join(segments(spark, d), _islands(spark, d), ["recording"], "idx", "start", "end")
+    x = rel.interval_join(segments(spark, d), _islands(spark, d), ["recording"], "idx", "start", "end")
     return x.groupBy("recording", "start", "end").agg(
         F.sum("words").alias("words"), F.sum("chars").alias("chars"), F.round(F.coalesce(F.sum("duration"), F.lit(0.0)), 4).alias("duration"), F.round(F.coalesce(F.sum("duration"), F.lit(0.0)) / 3600, 9).alias("hours")
     )
@@ -113,8 +124,8 @@ def time_containment(spark: S, d: str) -> D:
     """Aligned words that lie inside the window of a segment."""
     t = lambda c: F.when(~F.isnan(c), F.col(c))
     span = words(spark, d).groupBy(F.substring_index("segm", "/", 1).alias("recording"), "segm").agg((F.min(t("start_time")) * 1000).alias("a"), (F.max(t("end_time")) * 1000).alias("b"))
-    a = aligned(spark, d)
-    return a.join(span, "recording").where((F.col("start") >= F.col("a")) & (F.col("end") <= F.col("b"))).select("segm", "id")
+    x = rel.interval_join(aligned(spark, d), span, ["recording"], "start", "a", "b")
+    return x.where(F.col("end") <= F.col("b")).select("segm", "id")
 
 
 @query(f"WITH {ALIGNED} SELECT id, recording FROM ali WHERE id IN (SELECT word_id FROM words WHERE avg_char_duration > 0.15)")
@@ -193,21 +204,21 @@ def zip_arrays(spark: S, d: str) -> D:
     return x.select("recording", F.transform("z", lambda s: s["i"]).alias("ids"), F.transform("z", lambda s: s["w"]).alias("words"))
 
 
-_GRID = f"""s AS (SELECT recording, idx, duration AS s FROM seg WHERE type = 'train' AND idx < 1000 AND duration IS NOT NULL), f AS (SELECT recording, idx, duration AS f FROM seg WHERE type <> 'train' AND idx < 1000 AND duration IS NOT NULL AND recording IN (SELECT recording FROM s)),
-u AS (SELECT recording, idx, s, f FROM s FULL JOIN f USING (recording, idx)), g AS (SELECT recording, unnest(range(0, max(idx) + 1)) AS idx FROM u GROUP BY recording),
-grid AS (SELECT g.recording, g.idx, CASE WHEN f IS NOT NULL THEN 1 WHEN s IS NOT NULL THEN 2 ELSE 0 END AS origin, coalesce(f, s, 5.0) AS duration FROM g LEFT JOIN u ON u.recording = g.recording AND u.idx = g.idx)"""
+_GRID = f"""s AS (SELECT recording, idx, duration AS s FROM seg WHERE type = 'train' AND duration IS NOT NULL), f AS (SELECT recording, idx, duration AS f FROM seg WHERE type <> 'train' AND duration IS NOT NULL AND recording IN (SELECT recording FROM s)),
+u AS (SELECT recording, idx, s, f FROM s FULL JOIN f USING (recording, idx)), g AS (SELECT *, coalesce(lag(idx) OVER (PARTITION BY recording ORDER BY idx), -1) + 1 AS free FROM u WHERE idx >= 0),
+grid AS (SELECT recording, idx, CAST(1 AS BIGINT) AS cnt, CASE WHEN f IS NOT NULL THEN 1 ELSE 2 END AS origin, coalesce(f, s) AS duration FROM g UNION ALL SELECT recording, free, idx - free, 0, 5.0 * (idx - free) FROM g WHERE idx > free)"""
 
 
 def stretches(spark: S, d: str) -> D:
-    """The grid of all indexes, an empty stretch as one row; the SQL keeps to indexes below 1000."""
+    """The grid of all indexes from 0 on, an empty stretch as one row with its count."""
     x = segments(spark, d).where("duration is not null")
     return timeline.fallback_stretches(x.where("type = 'train'"), x.where("type <> 'train'"), "recording", "idx", "duration")
 
 
-@query(f"WITH {SEG}, {_GRID} SELECT recording, idx, origin, duration FROM grid")
+@query(f"WITH {SEG}, {_GRID} SELECT recording, idx, cnt, origin, duration FROM grid")
 def fallback_grid(spark: S, d: str) -> D:
-    """Every index with its source: fallback before original, else missing."""
-    return timeline.unfold(stretches(spark, d), "recording").select("recording", "idx", "origin", "duration")
+    """Every index with its source, fallback before original; ``cnt`` missing ones in a row are one stretch."""
+    return stretches(spark, d).select("recording", "idx", "cnt", "origin", "duration")
 
 
 @query(f"""WITH {SEG}, {_GRID}, m AS (SELECT recording, min(idx) AS a, max(idx) AS b FROM u GROUP BY recording), l AS (SELECT recording, unnest(range(a, b + 1)) AS idx FROM m)

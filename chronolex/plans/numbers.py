@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.functions import audio
 from chronolex.functions import numeric as N
 from chronolex.operators import frames
+from chronolex.operators.ranking import global_rank
 from chronolex.plans.base import SEG, segments
 from chronolex.plans.registry import query, table
 
@@ -69,11 +70,11 @@ def array_ops(spark: S, d: str) -> D:
     return _lists(spark, d).select("recording", F.slice("w", 2, 3).alias("part"), F.flatten(F.array_repeat("w", 2)).alias("twice"), F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")).alias("positions"))
 
 
-@query(_LISTS + " SELECT recording, list_concat(w, list_transform(range(0, max(len(w)) OVER () - len(w)), lambda i: CAST(-1 AS BIGINT))) AS padded, len(w) AS length FROM l")
+@query(_LISTS + ", r AS (SELECT *, (row_number() OVER (ORDER BY recording NULLS FIRST) - 1) // 8 AS batch FROM l) SELECT recording, batch, list_concat(w, list_transform(range(0, max(len(w)) OVER (PARTITION BY batch) - len(w)), lambda i: CAST(-1 AS BIGINT))) AS padded, len(w) AS length FROM r")
 def pad_batch(spark: S, d: str) -> D:
-    """Arrays padded to the longest of the batch, with their lengths."""
-    x = _lists(spark, d).withColumn("batch", F.lit(0))
-    return x.select("recording", N.pad_batch(F.col("w"), F.col("batch"), F.lit(-1).cast("long")).alias("padded"), F.size("w").cast("long").alias("length"))
+    """Batches of eight arrays, each padded to the longest of its batch, with their lengths."""
+    x = global_rank(_lists(spark, d), ["recording"], "at").withColumn("batch", F.floor(F.col("at") / 8))
+    return x.select("recording", "batch", N.pad_batch(F.col("w"), F.col("batch"), F.lit(-1).cast("long")).alias("padded"), F.size("w").cast("long").alias("length"))
 
 
 @query(_LISTS + " SELECT recording, list_concat(list_concat(list_reverse(w[2:3]), w), list_reverse(w[len(w) - 2:len(w) - 1])) AS padded FROM l WHERE len(w) > 3")
@@ -83,12 +84,14 @@ def reflect_pad(spark: S, d: str) -> D:
     return x.select("recording", N.reflect_pad(F.col("w"), 2).alias("padded"))
 
 
-@query(f"WITH {SEG} SELECT type, count(*) AS n, min(w) AS fifth FROM (SELECT type, (list(words ORDER BY recording, idx) OVER (PARTITION BY type))[5] AS w FROM seg) GROUP BY type")
+@query(f"WITH {SEG} SELECT recording, count(*) AS n, min(w) AS third FROM (SELECT recording, (list(words ORDER BY idx) OVER (PARTITION BY recording))[3] AS w FROM seg) GROUP BY recording")
 def map_lookup(spark: S, d: str) -> D:
-    """A map built from arrays, and a lookup in it."""
-    x = segments(spark, d).groupBy("type").agg(F.array_sort(F.collect_list(F.struct("recording", "idx", "words"))).alias("l"))
-    m = F.map_from_arrays(F.sequence(F.lit(1), F.size("l")), F.col("l.words"))
-    return x.select("type", F.size("l").cast("long").alias("n"), F.try_element_at(m, F.lit(5)).alias("fifth"))
+    """A map from place to value of each recording, built from its first places, and a lookup in it."""
+    at = F.row_number().over(Window.partitionBy("recording").orderBy("idx"))
+    x = segments(spark, d).select("recording", "words", at.alias("at")).groupBy("recording")
+    first = F.when(F.col("at") <= 3, F.struct("at", "words"))
+    x = x.agg(F.count("*").alias("n"), F.map_from_entries(F.collect_list(first)).alias("m"))
+    return x.select("recording", "n", F.try_element_at("m", F.lit(3)).alias("third"))
 
 
 @query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
@@ -111,16 +114,26 @@ def assemble_features(spark: S, d: str) -> D:
 
 @query()
 def kmeans_labels(spark: S, d: str) -> D:
-    """Cluster labels of the vectors for several k."""
+    """Cluster labels of the vectors, a column for each of the twelve k."""
     x = frames.assemble(table(spark, d, "embeddings"), "embedding")
-    return frames.kmeans_labels(x, "features", (5, 10, 25))[0].select("vec_id", "km5", "km10", "km25")
+    return frames.kmeans_labels(x, "features")[0].select("vec_id", *(f"km{k}" for k in frames.CLUSTERS))
 
 
 @query()
 def kmeans_cost(spark: S, d: str) -> D:
-    """Training cost for each k."""
+    """Training cost for each of the twelve k."""
     x = frames.assemble(table(spark, d, "embeddings"), "embedding")
-    return spark.createDataFrame(sorted(frames.kmeans_labels(x, "features", (5, 10))[1].items()), "k int, cost double")
+    return spark.createDataFrame(sorted(frames.kmeans_labels(x, "features")[1].items()), "k int, cost double")
+
+
+@query()
+def kmeans_minibatch(spark: S, d: str) -> D:
+    """Cluster labels from centres fitted batch by batch, for three k."""
+    x = table(spark, d, "embeddings").select("vec_id", "embedding")
+    for k in (10, 25, 50):
+        centres = frames.minibatch_centres(x, "embedding", "vec_id", k)
+        x = frames.nearest_centroid(x, "embedding", centres, "label", "centre").withColumnRenamed("label", f"km{k}").drop("distance")
+    return x.select("vec_id", "km10", "km25", "km50")
 
 
 _CENTRES = "c AS (SELECT label AS l, embedding AS e FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1)"

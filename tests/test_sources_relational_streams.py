@@ -74,3 +74,13 @@ def test_stream_equals_batch(spark, tmp_path, got):
     assert got(windows.drain(spark, windows.deduplicated(stream(), "ts", ["u"], "10 days"), "append"), "u") == [(0,), (1,), (2,)]
     runs = windows.drain(spark, windows.run_lengths(stream(), "u", "ts", F.col("v")), "append")
     assert runs.groupBy("key").count().collect()[0]["count"] == 19 and runs.agg(F.sum("n")).first()[0] == 570
+
+
+def test_centres_batch_by_batch(spark):
+    rows = [(i, [float(i % 2 * 10 + (i % 7) / 10), 0.0]) for i in range(200)] + [(900, None)]
+    x = spark.createDataFrame(rows, "id int, v array<double>")
+    centres = sorted(r["centre"] for r in frames.minibatch_centres(x, "v", "id", 6, batch=50).collect())
+    assert len(centres) == 6 and all(min(c[0], abs(c[0] - 10)) < 1 for c in centres)
+    near = frames.nearest_centroid(x.where("v is not null"), "v", frames.minibatch_centres(x, "v", "id", 6, batch=50), "label", "centre")
+    assert near.agg(F.max("distance")).first()[0] < 1
+    assert frames.minibatch_centres(x.where("false"), "v", "id", 3).count() == 0
