@@ -6,11 +6,20 @@ import os
 
 from pyspark.sql import SparkSession
 
+from chronolex.shared import own_folder
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session: UTC, ANSI, AQE on."""
+    """A local session: UTC, ANSI, AQE on.
+
+    The shared folder is ``CHRONOLEX_SHARED_DIR``, else a new one on this machine.
+    """
+    shared = os.environ.get("CHRONOLEX_SHARED_DIR")
+    if shared is None and SparkSession.getActiveSession() is None:
+        shared = own_folder()
+    builder = SparkSession.builder if shared is None else SparkSession.builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("chronolex")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")

@@ -1,7 +1,8 @@
 """Tables cut from their lineage, written to the folder all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on
-one machine) a local folder is made and removed at exit.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the session
+runs on one machine, one is made and removed at exit; a cluster without
+the setting raises.
 """
 
 from __future__ import annotations
@@ -29,9 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="chronolex-")
-        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
-    return f"file://{_LOCAL[app]}"
+        _LOCAL[app] = own_folder()
+    return _LOCAL[app]
+
+
+def own_folder() -> str:
+    """A new folder on this machine for a session that runs on it alone, removed at exit."""
+    path = tempfile.mkdtemp(prefix="chronolex-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 def _own(spark: SparkSession) -> str:
@@ -53,7 +60,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialise`` that nothing reads any more; others are left alone."""
+    for t in tables:
+        path = getattr(t, "_written", None)
+        if path:
+            remove(t.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
