@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.operators.ranking import global_rank
-from chronolex.shared import materialise
+from chronolex.shared import materialise, release
 
 PART = 1024
 #: Labels counted apart in the filter, and how many of each; what lies beyond is bounded together.
@@ -98,17 +98,6 @@ def share_in_common(a: np.ndarray, b: np.ndarray, min_share: float, max_ratio: f
     return common_length(a, b) / short
 
 
-def with_shares(pairs: DataFrame, min_share: float, max_ratio: float) -> DataFrame:
-    """``pairs`` (a, b, seq_a, seq_b) to (a, b, share), those of at least ``min_share``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            share = [share_in_common(np.asarray(x), np.asarray(y), min_share, max_ratio) for x, y in zip(pdf["seq_a"], pdf["seq_b"])]
-            yield pdf[["a", "b"]].assign(share=share)
-
-    return pairs.mapInPandas(run, "a string, b string, share double").where(F.col("share") >= min_share)
-
-
 def length_blocks(seqs: DataFrame, part: int = PART) -> DataFrame:
     """(block, lo, hi, keys, data): ``part`` sequences that are next in length, none of them empty, and their shortest and longest."""
     x = global_rank(seqs.select("key", "seq", F.size("seq").cast("long").alias("size")).where("size > 0"), ["size", "key"], "rank")
@@ -176,15 +165,16 @@ def similar_pairs(seqs: DataFrame, *, min_share: float = 0.65, max_ratio: float
 def follow(pointers: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, root) from (id, up), up = id at the peaks, by pointer doubling."""
     for _ in range(rounds):
+        step = pointers.select(F.col("id").alias("mid"), F.col("up").alias("higher"))
         nxt = materialise(
-            pointers.alias("p").join(pointers.select(F.col("id").alias("mid"), F.col("up").alias("higher")), F.col("up") == F.col("mid")).select("id", F.col("higher").alias("up"), (F.col("up") != F.col("higher")).alias("moved")),
+            pointers.select("id", "up").join(step.hint("merge"), F.col("up") == F.col("mid")).select("id", F.col("higher").alias("up"), (F.col("up") != F.col("higher")).alias("moved")),
             "pointers",
         )
-        moved = nxt.where("moved").limit(1).count()
-        pointers = nxt.select("id", "up")
-        if not moved:
-            break
-    return pointers.withColumnRenamed("up", "root")
+        release(pointers)
+        pointers = nxt
+        if nxt.where("moved").isEmpty():
+            return nxt.select("id", F.col("up").alias("root"))
+    raise RuntimeError(f"the pointers did not settle in {rounds} rounds")
 
 
 def density_clusters(seqs: DataFrame, *, min_share: float = 0.65, max_ratio: float = 2.0, part: int = PART) -> DataFrame:
@@ -195,16 +185,37 @@ def density_clusters(seqs: DataFrame, *, min_share: float = 0.65, max_ratio: flo
     An empty table gives an empty result.
     """
     pairs = materialise(similar_pairs(seqs, min_share=min_share, max_ratio=max_ratio, part=part), "pairs")
+    return _peaks(seqs, pairs)
+
+
+def _peaks(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, cluster, density) from all similar pairs.
+
+    The distance of a record to the nearest denser one is 1 - share, and that of a record with no
+    similar denser one lies beyond the limit: those are the peaks. The joins are hinted, so no side
+    that grows with the records is broadcast.
+    """
     close = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
     density = materialise(close.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("density")), "density")
     a, b = (density.select(F.col("id").alias(n), F.col("density").alias(f"density_{n}")) for n in "ab")
-    close = close.join(a, "a").join(b, "b").where(F.struct("density_b", "b") > F.struct("density_a", "a"))
+    close = close.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(F.struct("density_b", "b") > F.struct("density_a", "a"))
     up = close.groupBy("a").agg(F.max_by("b", F.struct("share", "density_b", "b")).alias("up"))
-    up = materialise(seqs.select(F.col("key").alias("id")).join(up, F.col("a") == F.col("id"), "left").select("id", F.coalesce("up", "id").alias("up")), "pointers")
-    linked = up.where("id <> up")
-    tree = linked.unionByName(linked.select(F.col("up").alias("id")).distinct().join(linked.select("id"), "id", "left_anti").withColumn("up", F.col("id")))
-    roots = follow(tree)
-    return up.select("id").join(roots, "id", "left").join(density, "id", "left").select("id", F.coalesce("root", "id").alias("cluster"), F.coalesce("density", F.lit(0)).alias("density"))
+    linked = materialise(density.select("id").join(up.hint("merge"), F.col("a") == F.col("id"), "left").select("id", F.coalesce("up", "id").alias("up")), "pointers")
+    roots = follow(linked)
+    x = seqs.select(F.col("key").alias("id")).join(roots.hint("merge"), "id", "left").join(density.hint("merge"), "id", "left")
+    return x.select("id", F.coalesce("root", "id").alias("cluster"), F.coalesce("density", F.lit(0)).alias("density"))
+
+
+def pairs_in_clusters(seqs: DataFrame, *, min_share: float = 0.65, max_ratio: float = 2.0, part: int = PART) -> DataFrame:
+    """(a, b, share), a < b: the similar pairs whose two records are in one density cluster.
+
+    The shares are those the neighbour joins have measured; nothing is compared again.
+    """
+    pairs = materialise(similar_pairs(seqs, min_share=min_share, max_ratio=max_ratio, part=part), "pairs")
+    found = materialise(_peaks(seqs, pairs).where("density > 0").select("id", "cluster"), "clusters")
+    a, b = (found.select(F.col("id").alias(n), F.col("cluster").alias(f"cluster_{n}")) for n in "ab")
+    x = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+    return x.where("cluster_a = cluster_b").select("a", "b", "share")
 
 
 def describe_clusters(clusters: DataFrame, typical: int = 3) -> DataFrame:
@@ -220,9 +231,12 @@ def describe_clusters(clusters: DataFrame, typical: int = 3) -> DataFrame:
     return x.where("size > 1").select("cluster", "size", F.transform(F.slice("m", 1, typical), lambda s: s["id"]).alias("typical"))
 
 
-def cluster_pairs(clusters: DataFrame, seqs: DataFrame, *, min_share: float = 0.65, max_ratio: float = 2.0) -> DataFrame:
-    """(a, b, share), a < b: the pairs inside the clusters, each checked exactly."""
-    many = clusters.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
-    x = materialise(clusters.join(many, "cluster").join(seqs, F.col("id") == F.col("key")).select("id", "cluster", "seq"), "members")
-    a, b = (x.select(F.col("id").alias(n), "cluster", F.col("seq").alias(f"seq_{n}")) for n in "ab")
-    return with_shares(a.join(b, "cluster").where("a < b"), min_share, max_ratio)
+def cluster_pairs(clusters: DataFrame, seqs: DataFrame, *, min_share: float = 0.65, max_ratio: float = 2.0, part: int = PART) -> DataFrame:
+    """(a, b, share), a < b: the similar pairs inside given clusters (id, cluster), each checked exactly.
+
+    The pairs come from the blocked neighbour join, so a cluster of any size is many tasks.
+    """
+    pairs = similar_pairs(seqs, min_share=min_share, max_ratio=max_ratio, part=part)
+    a, b = (clusters.select(F.col("id").alias(n), F.col("cluster").alias(f"cluster_{n}")) for n in "ab")
+    x = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+    return x.where("cluster_a = cluster_b").select("a", "b", "share")

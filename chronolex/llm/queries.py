@@ -73,8 +73,8 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of segments that are renderings of one take."""
-    pairs = clusters.similar_pairs(_sequences(spark, sf_dir))
+    """Pairs of segments that are renderings of one take: the similar pairs inside the density clusters."""
+    pairs = clusters.pairs_in_clusters(_sequences(spark, sf_dir))
     return pairs.select(F.col("a").alias("segm_a"), F.col("b").alias("segm_b"))
 
 
@@ -143,13 +143,18 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- 3: splits
 
 
+MOST_SIDES = 100
+
+
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolex.llm.splits import split_related
 
     s = table(spark, sf_dir, "split_filelist").select("mp3_name", "path", "segment_path", "segment_index__segments", "type").distinct()
     spelt = F.nullif(F.lower(F.trim("mp3_name")), F.lit(""))
     entities = [F.concat(F.lit("recording:"), recording_in(F.col(c))) for c in ("mp3_name", "path", "segment_path")] + [F.concat(F.lit("name:"), spelt)]
-    targets = [tuple(r) for r in table(spark, sf_dir, "split_targets").select("side", "target_share").limit(100).collect()]
+    targets = [tuple(r) for r in table(spark, sf_dir, "split_targets").select("side", "target_share").limit(MOST_SIDES + 1).collect()]
+    if len(targets) > MOST_SIDES:
+        raise ValueError(f"more than {MOST_SIDES} sides have a target")
     return split_related(s, entities, targets).withColumn("recording", recording_in(F.col("mp3_name"), F.col("path"), F.col("segment_path")))
 
 
@@ -179,18 +184,24 @@ def p3_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- 10: repetition
 
 
+REPEATED = 0.35
+
+
 def _repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolex.llm.repetition import repetition
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return repetition(docs, key=F.col("doc_id"), text=F.col("text")).withColumnRenamed("key", "doc_id")
+    return repetition(docs, key=F.col("doc_id"), text=F.col("text"), max_boilerplate=REPEATED).withColumnRenamed("key", "doc_id")
 
 
 @query()
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of which at least 0.35 repeats what they have said: the exact share alone, whatever lines are marked."""
-    x = _repetition(spark, sf_dir)
-    return x.where("repeated_share >= 0.35").select("doc_id").distinct()
+    """Documents the field does not keep, their content share being too low; the exact share is checked last.
+
+    No line with a repeated stretch is content, so the check can only take documents away.
+    """
+    x = _repetition(spark, sf_dir).where("not keep")
+    return x.where(f"repeated_share >= {REPEATED}").select("doc_id").distinct()
 
 
 @query()

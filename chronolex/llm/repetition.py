@@ -1,11 +1,15 @@
 """Repetition inside single documents: problem 10.
 
 A document is cut into lines (at line ends, sentence ends and after 20 words) and each line gets
-a few features of how much of it has already stood in the document. A linear-chain conditional
-random field over the lines, decoded by Viterbi, marks them content or boilerplate; the share of
-words on content lines decides whether the document is kept. The field is fitted here, on a
-bounded sample of documents, towards a prior that holds where the sample says nothing. The exact
-share of words lying in a repeated stretch is measured beside it, for every document.
+a few features of how much of it has been heard before: three words in a row, the whole line, echoes. A
+linear-chain conditional random field over the lines, decoded by Viterbi, marks them content or
+boilerplate; the share of words on content lines decides whether the document is kept. A line with
+a word in a repeated stretch of five may not be content: the decoder only looks at the paths
+that respect this, so the field is never more lenient than the exact share. Between such lines it is
+the field that decides, by features and neighbours. It is fitted here, on a bounded sample of
+documents, towards a prior that holds where the sample says nothing; its labels are the stretches
+of five, which are no feature. The exact share of words lying in a repeated stretch is measured
+beside it, for every document.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ _DIGITS = re.compile(r"\d+")
 _PLAIN = 6000
 
 #: Prior weights: per state (content, boilerplate) over the features, then transitions[from, to].
-FEATURES = ("bias", "repeated words", "line stood before", "words", "echo of the last words")
+FEATURES = ("bias", "three words heard before", "line stood before", "words", "echo of the last words")
 PRIOR = (np.array([[1.0, -3.0, -1.0, 0.0, -1.0], [-1.0, 3.0, 1.0, 0.0, 1.0]]), np.array([[0.5, -0.5], [-0.5, 0.5]]))
 
 
@@ -70,13 +74,29 @@ def repeated(ids: np.ndarray, distinct: int, stretch: int = STRETCH) -> np.ndarr
     return out
 
 
-def line_features(ids: np.ndarray, starts: list[int], rep: np.ndarray) -> np.ndarray:
-    """(lines, features), all between 0 and 1."""
+def heard(ids: np.ndarray, distinct: int, few: int = 3) -> np.ndarray:
+    """For each word, whether the ``few`` words from it on have stood so earlier."""
+    n = len(ids)
+    out = np.zeros(n, bool)
+    if n <= few:
+        return out
+    gram = ids
+    for k in range(1, few):  # three numbers fit into 63 bits up to two million distinct words
+        gram = gram[: n - k] * distinct + ids[k:]
+        if distinct > 1 << 20:
+            _, gram = np.unique(gram, return_inverse=True)
+    order = np.argsort(gram, kind="stable")
+    out[order[1:][gram[order[1:]] == gram[order[:-1]]]] = True
+    return out
+
+
+def line_features(ids: np.ndarray, starts: list[int], near: np.ndarray) -> np.ndarray:
+    """(lines, features), all between 0 and 1, from word numbers, line starts and ``heard``."""
     begin = np.array(starts)
     end = np.append(begin[1:], len(ids))
     size = end - begin
     x = np.ones((len(begin), len(FEATURES)))
-    x[:, 1] = np.add.reduceat(rep.astype(float), begin) / size
+    x[:, 1] = np.add.reduceat(near.astype(float), begin) / size
     x[:, 3] = size / LINE_WORDS
     echo = np.zeros(len(ids))
     for lag in (1, 2, 3):
@@ -90,11 +110,13 @@ def line_features(ids: np.ndarray, starts: list[int], rep: np.ndarray) -> np.nda
     return x
 
 
-def viterbi(x: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The likeliest state of each line."""
+def viterbi(x: np.ndarray, weights: tuple[np.ndarray, np.ndarray], barred: np.ndarray | None = None) -> np.ndarray:
+    """The likeliest state of each line, 1 for boilerplate; ``barred`` lines may not be content."""
     emit = x @ weights[0].T
     t = weights[1]
-    if (emit[:, 0] >= emit[:, 1]).all() and t[0, 0] >= t.max():
+    if barred is not None and barred.any():
+        emit[barred, 0] = -np.inf
+    elif (emit[:, 0] >= emit[:, 1]).all() and t[0, 0] >= t.max():
         return np.zeros(len(x), np.int8)  # every step of the all-content path is the best there is
     emit = emit.tolist()
     (t00, t01), (t10, t11) = t.tolist()
@@ -142,7 +164,8 @@ def fit_on_sample(df: DataFrame, text: Column, documents: int = 150, lines: int
     """Weights fitted on at most ``documents`` documents, the first by a hash of the text.
 
     At most the first ``lines`` lines of each serve the fit. A line is boilerplate for it where at
-    least half of its words lie in a repeated stretch. Only features reach the driver.
+    least half of its words lie in a repeated stretch of five, which no feature tells. Only features
+    reach the driver.
     """
     x = df.select(text.alias("t")).where("t is not null").orderBy(F.xxhash64("t"), "t").limit(documents)
 
@@ -153,20 +176,23 @@ def fit_on_sample(df: DataFrame, text: Column, documents: int = 150, lines: int
                 words, starts = words_of(t)
                 if words:
                     ids, distinct = numbered(words)
-                    f = line_features(ids, starts, repeated(ids, distinct))[:lines]
-                    rows.append((f.ravel().tolist(), (f[:, 1] >= 0.5).astype(int).tolist()))
+                    f = line_features(ids, starts, heard(ids, distinct))[:lines]
+                    size = np.diff([*starts, len(ids)])
+                    half = np.add.reduceat(repeated(ids, distinct).astype(float), starts) >= size / 2
+                    rows.append((f.ravel().tolist(), half[:lines].astype(int).tolist()))
             yield pd.DataFrame(rows, columns=["x", "y"])
 
     got = x.mapInPandas(run, "x array<double>, y array<int>").collect()
     return fit([(np.array(r["x"]).reshape(-1, len(FEATURES)), np.array(r["y"])) for r in got])
 
 
-def repetition(df: DataFrame, *, key: Column, text: Column, weights: tuple[np.ndarray, np.ndarray] | None = None, min_content: float = 0.65) -> DataFrame:
+def repetition(df: DataFrame, *, key: Column, text: Column, weights: tuple[np.ndarray, np.ndarray] | None = None, max_boilerplate: float = 0.35) -> DataFrame:
     """(key, words, lines, boilerplate_lines, content_share, repeated_share, keep) of each row.
 
     ``repeated_share`` is exact: the words in a stretch of five or more that has stood earlier in
     the text, over all words. ``content_share`` is the share of words on lines the field marks as
-    content; ``keep`` says it is at least ``min_content``. A null, empty or wordless text has no
+    content, at most 1 - ``repeated_share``; ``keep`` says that what is left is below
+    ``max_boilerplate``. A null, empty or wordless text has no
     lines, shares 1 and 0, and is kept. Every row gives a row, repeated keys too; texts are read
     whole. An empty table gives an empty result; other columns play no part.
     """
@@ -179,18 +205,18 @@ def repetition(df: DataFrame, *, key: Column, text: Column, weights: tuple[np.nd
             for t in pdf["t"]:
                 words, starts = words_of(t) if t is not None else ([], [])
                 if not words:
-                    rows.append((0, 0, 0, 1.0, 0.0))
+                    rows.append((0, 0, 0, 1.0, 0.0, True))
                     continue
                 ids, distinct = numbered(words)
                 rep = repeated(ids, distinct)
-                state = viterbi(line_features(ids, starts, rep), weights)
-                ends = np.append(starts[1:], len(words))
-                content = (ends - np.array(starts))[state == 0].sum() / len(words)
-                rows.append((len(words), len(starts), int(state.sum()), float(content), float(rep.mean())))
-            out = pd.DataFrame(rows, columns=["words", "lines", "boilerplate_lines", "content_share", "repeated_share"])
+                barred = np.logical_or.reduceat(rep, starts)
+                state = viterbi(line_features(ids, starts, heard(ids, distinct)), weights, barred)
+                marked = int(np.diff([*starts, len(ids)])[state == 1].sum())
+                share = int(rep.sum()) / len(words)
+                rows.append((len(words), len(starts), int(state.sum()), 1 - marked / len(words), share, marked / len(words) < max_boilerplate))
+            out = pd.DataFrame(rows, columns=["words", "lines", "boilerplate_lines", "content_share", "repeated_share", "keep"])
             out.insert(0, "key", pdf["key"].to_numpy())
             yield out
 
     x = df.select(key.alias("key"), text.cast("string").alias("t"))
-    x = x.mapInPandas(run, f"key {kind}, words long, lines long, boilerplate_lines long, content_share double, repeated_share double")
-    return x.withColumn("keep", F.col("content_share") >= min_content)
+    return x.mapInPandas(run, f"key {kind}, words long, lines long, boilerplate_lines long, content_share double, repeated_share double, keep boolean")

@@ -17,25 +17,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.shared import materialise
+from chronolex.shared import materialise, release
 
 UNIT = 1 << 30
+#: Nodes of more edges than HUB are spread over SALTS join keys.
+HUB, SALTS = 1_000_000, 64
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star pass over (u, v), u > v or in any order."""
+def _stars(edges: DataFrame, large: bool, hubs: bool = True) -> DataFrame:
+    """One large-star or small-star pass over (u, v), u > v or in any order.
+
+    With ``hubs`` the join that gives a node's neighbours its minimum is on (node, salt): the minimum of a
+    hub is copied to every salt, so its neighbours are as many tasks as salts.
+    """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        out = _salted(both, low, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        x = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        x = _salted(down, low, hubs).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = x.unionByName(low.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
+def _salted(edges: DataFrame, low: DataFrame, hubs: bool) -> DataFrame:
+    """``edges`` with m of their u; a u of more than ``HUB`` edges meets on ``SALTS`` keys, others on one."""
+    if not hubs:
+        return edges.join(low.select("u", "m"), "u")
+    hub = F.col("n") > HUB
+    m = low.select("u", "m", F.explode(F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))).alias("salt"))
+    x = edges.join(low.where(hub).select(F.col("u").alias("__hub")), F.col("u") == F.col("__hub"), "left")
+    x = x.withColumn("salt", F.when(F.col("__hub").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(-1)).drop("__hub")
+    return x.join(m, ["u", "salt"])
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -48,9 +65,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     edges = materialise(edges.select(F.col("u").cast("string"), F.col("v").cast("string")).distinct(), "edges")
     now, mark = edges.where("u <> v"), None
+    hubs = edges.count() > HUB  # with fewer edges no node has so many; the passes add none
     for _ in range(rounds):
-        now = materialise(_stars(materialise(_stars(now, True), "large"), False), "small")
-        was, mark = mark, _mark(now)
+        large = materialise(_stars(now, True, hubs), "large")
+        was, before = mark, now
+        now = materialise(_stars(large, False, hubs), "small")
+        mark = _mark(now)
+        release(large, before)
         if mark == was:
             break
     else:

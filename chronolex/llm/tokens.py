@@ -5,7 +5,8 @@ from __future__ import annotations
 import base64
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Rank file of a byte-level BPE; another one may be given wherever this is the default.
@@ -26,12 +27,20 @@ def encoding(ranks: str, pattern: str = PATTERN):
     return kept[ranks, pattern]
 
 
-def token_count(text: Column, ranks: str = RANKS) -> Column:
-    """Tokens of a whole text, 0 for null and empty ones."""
+def token_count(text: Column, ranks: str | None = None) -> Column:
+    """Tokens of a whole text, 0 for null and empty ones.
+
+    ``ranks`` is the rank file, by default the session's ``chronolex.tokenizer.ranks``, else
+    ``RANKS``. The driver reads it and ships it with the job, so no executor needs the path.
+    """
+    spark = SparkSession.getActiveSession()
+    ranks = ranks or spark.conf.get("chronolex.tokenizer.ranks", RANKS)
+    spark.sparkContext.addFile(ranks)
+    name = ranks.rstrip("/").rsplit("/", 1)[-1]
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        e = encoding(ranks)
+        e = encoding(SparkFiles.get(name))
         return texts.map(lambda t: len(e.encode_ordinary(t)) if t else 0).astype("int64")
 
     return count(text)

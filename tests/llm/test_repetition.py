@@ -43,6 +43,21 @@ def test_viterbi_against_all_paths():
         assert R.viterbi(x, w).tolist() == best
 
 
+def test_neighbours_change_an_answer_and_bars_hold():
+    weak = np.array([[1.0, 1.0, 0, 1, 0], [1.0, 0.3, 0, 1, 0], [1.0, 1.0, 0, 1, 0]])
+    free = (R.PRIOR[0], np.zeros((2, 2)))
+    assert R.viterbi(weak, R.PRIOR).tolist() == [1, 1, 1] and R.viterbi(weak, free).tolist() == [1, 0, 1]
+    clean = np.array([[1.0, 0, 0, 1, 0]] * 3)
+    assert R.viterbi(clean, R.PRIOR, np.array([False, True, False])).tolist() == [0, 1, 0]
+    assert R.viterbi(clean, R.PRIOR, np.zeros(3, bool)).tolist() == [0, 0, 0]
+
+
+def test_three_words_heard_before():
+    words = "a b c d a b c a b".split()
+    assert np.flatnonzero(R.heard(*R.numbered(words))).tolist() == [4]
+    assert not R.heard(np.array([0, 1]), 2).any()
+
+
 def test_fit_raises_the_likelihood_and_survives_no_data():
     assert all((a == b).all() for a, b in zip(R.fit([]), R.PRIOR))
     r = np.random.default_rng(1)
