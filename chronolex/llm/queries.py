@@ -213,10 +213,8 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- 7: speaker turns
 
 
-def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chronolex.llm.turns import spoken_words
-
-    return spoken_words(
+def _spoken(spark: SparkSession, sf_dir: str, what) -> DataFrame:
+    return what(
         table(spark, sf_dir, "words"), table(spark, sf_dir, "speakers"), segment=F.col("segm"), word=F.col("word"), speaker=F.col("speaker"),
         start=F.col("start_time"), end=F.col("end_time"), tie=F.col("word_id"), transcript=F.substring_index("segm", "/", 1),
     )
@@ -225,16 +223,18 @@ def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speaker turns with the start of their first word."""
-    x = _spoken(spark, sf_dir).where("opens")
+    from chronolex.llm.turns import turn_starts
+
+    x = _spoken(spark, sf_dir, turn_starts)
     return x.select("segm", "speaker_id", F.round(F.col("start") * 1000).cast("long").alias("start_ms"))
 
 
 @query()
 def p7_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns in order with their clean text."""
-    from chronolex.llm.turns import turns
+    from chronolex.llm.turns import spoken_words, turns
 
-    return turns(_spoken(spark, sf_dir)).select("segm", "turn", "speaker_id", F.round(F.col("start") * 1000).cast("long").alias("start_ms"), "words", "text")
+    return turns(_spoken(spark, sf_dir, spoken_words)).select("segm", "turn", "speaker_id", F.round(F.col("start") * 1000).cast("long").alias("start_ms"), "words", "text")
 
 
 # ---------------------------------------------------------------- 8: containers

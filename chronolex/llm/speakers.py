@@ -18,10 +18,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolex.shared import materialise
+
 #: Classes of Czech consonants that sound alike once accents are gone.
 SOUNDS = {"b": "p", "p": "p", "f": "f", "v": "f", "w": "f", "d": "t", "t": "t", "g": "k", "k": "k", "q": "k", "c": "s", "s": "s", "x": "s", "z": "s", "h": "h", "l": "l", "r": "r", "m": "m", "n": "n"}
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-MOST = 2.0
+#: Parameters of likeness. MOST: dearest pair that may name a speaker, in edits and parts of one. TIE: cheaper
+#: differences are none. A surname of up to SHORT letters may differ by one edit, a longer one by two;
+#: a given name of SPELT letters or more by one, a shorter one must be exact or an initial. A role is
+#: known by its first ROLE letters.
+MOST, TIE, SHORT, SPELT, ROLE = 2.0, 0.04, 5, 4, 5
 
 
 def plain(text: str) -> str:
@@ -69,7 +75,7 @@ def edits(a: str, b: str, most: int) -> int:
 def name_cost(tokens: list[str], given: str, surname: str, role: str) -> float:
     """Cheapest assignment of two of the tokens to given name and surname; infinite if none fits."""
     best = float("inf")
-    bound = 1 if len(surname) <= 5 else 2
+    bound = 1 if len(surname) <= SHORT else 2
     for i, t in enumerate(tokens):
         if len(t) < 2:
             continue
@@ -83,10 +89,10 @@ def name_cost(tokens: list[str], given: str, surname: str, role: str) -> float:
                     first = 0.0
                 elif len(g) == 1 and given.startswith(g):
                     first = min(first, 0.3)
-                elif len(g) > 3 and edits(g, given, 1) == 1:
+                elif len(g) >= SPELT and edits(g, given, 1) == 1:
                     first = min(first, 0.5)
         best = min(best, far + first)
-    if role and any(len(t) > 3 and t[:5] == role[:5] for t in tokens):
+    if role and any(len(t) >= SPELT and t[:ROLE] == role[:ROLE] for t in tokens):
         best -= 0.05
     return best
 
@@ -163,8 +169,8 @@ def resolve_labels(df: DataFrame, roster: DataFrame, *, transcript: Column, labe
     seen = df.select(transcript.cast("string").alias("transcript"), label.cast("string").alias("label")).where("label is not null").distinct()
     found = candidates(seen.select("label").distinct(), roster)
     w = Window.partitionBy("label")
-    found = found.withColumn("least", F.min("cost").over(w)).where("cost < least + 0.04")
-    found = found.withColumn("ties", F.count("*").over(w))
+    found = found.withColumn("least", F.min("cost").over(w)).where(F.col("cost") < F.col("least") + TIE)
+    found = materialise(found.withColumn("ties", F.count("*").over(w)), "found")
     sure = found.where("ties = 1").select("label", "speaker_id")
     tied = found.where("ties > 1").select("label", "speaker_id", "cost")
     asked = seen.where("transcript is not null").join(tied, "label")
