@@ -22,7 +22,7 @@ records AS (SELECT file_id, recording, segment, CAST(regexp_extract(line, '^\s*(
 
 def _compacted(spark: SparkSession, sf_dir: str) -> compaction.Compacted:
     records = compaction.parse_label_files(table(spark, sf_dir, "segment_files"))
-    return compaction.compact(compaction.first_of_key(records, KEY, "file_id"), KEY, fresh_path(spark, "labels"))
+    return compaction.compact(records, KEY, fresh_path(spark, "labels"), order="file_id")
 
 
 @query(_RECORDS + """, own AS (SELECT DISTINCT file_id FROM (SELECT min(file_id) AS file_id FROM records GROUP BY recording, segment, frame))

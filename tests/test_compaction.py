@@ -32,7 +32,7 @@ def test_compacted_table_is_whole_sorted_and_replaces(spark, got):
     path = fresh_path(spark, "t")
     key = ["recording", "segment", "frame"]
     spark.range(3).write.parquet(path)
-    done = C.compact(C.first_of_key(doubled, key, "file_id"), key, path, target_bytes=16 * 1024)
+    done = C.compact(doubled, key, path, order="file_id", target_bytes=16 * 1024)
     assert done.records == 20_000 and done.files > 3 and done.largest < 3 * 16 * 1024
     back = done.read(spark)
     assert got(back.agg(F.count("*"), F.count_distinct(*key), F.max("file_id"))) == [(20_000, 20_000, 3)]
@@ -55,3 +55,32 @@ def test_failed_reconciliation_keeps_the_old_table(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         C.compact(spark.range(2), ["id"], path)
     assert spark.read.parquet(path).count() == 3
+
+
+@pytest.mark.parametrize("broken", ["lost", "altered", "doubled"])
+@pytest.mark.parametrize("step", ["first_of_key", "_in_ranges"])
+def test_a_row_lost_or_altered_on_the_way_is_seen(spark, monkeypatch, step, broken):
+    path = fresh_path(spark, "t")
+    rows = spark.range(50).select("id", (F.col("id") * 2).alias("value"))
+    C.compact(rows, ["id"], path)
+    before = C.current(spark, path)
+    right = getattr(C, step)
+
+    def wrong(*a):
+        x = right(*a)
+        if broken == "lost":
+            return x.where("id <> 7")
+        if broken == "doubled":
+            return x.unionByName(x.where("id = 7"))
+        column = "id" if step == "first_of_key" else "value"  # what only the copy may not change
+        return x.withColumn(column, F.when(F.col("id") == 7, -1).otherwise(F.col(column)))
+
+    monkeypatch.setattr(C, step, wrong)
+    with pytest.raises(RuntimeError):
+        C.compact(rows, ["id"], path)
+    assert C.current(spark, path) == before and spark.read.parquet(before).count() == 50
+
+
+def test_numbers_too_large_are_counted(spark, got):
+    df = files(spark, (1, "12345678901234567890,1\n1,99999999999\n2,3\n4, 5", f"{A}/07", None))
+    assert got(C.unreadable_lines(df)) == [(1, 2)] and got(C.parse_label_files(df), "frame", "km100") == [(2, 3)]
