@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from chronolex.shared import fresh_path, remove
 
 TARGET = 64 * 1024
+BLANKS = " \t\f\x0b"
+#: A whole line of two runs of digits parted by one sign that is no letter or digit.
+LINE = r"(?<![^\r\n])[ \t\f\x0b]*[0-9]+[^0-9A-Za-z\r\n][0-9]+[ \t\f\x0b]*(?![^\r\n])"
 
 
 @dataclass(frozen=True)
@@ -51,20 +54,18 @@ def parse_label_files(files: DataFrame) -> DataFrame:
         "file_id",
         F.when(has, F.col("segm1")).otherwise(F.nullif("segment_path1", F.lit(""))).alias("recording"),
         F.when(has, F.col("segm2")).otherwise(F.col("segment_path2")).try_cast("long").alias("segment"),
-        F.explode(F.split(F.translate("body", "\r", "\n"), "\n")).alias("line"),
-    ).where("recording is not null and segment is not null and line <> ''")
-    # one sign that is no letter or digit parts two runs of digits; blanks around them do not count
-    x = x.withColumn("p", F.split(F.btrim("line", F.lit(" \t\f\x0b")), "[^0-9A-Za-z]"))
-    x = x.where(F.size("p") == 2).select("recording", "segment", F.col("p")[0].try_cast("long").alias("frame"), F.col("p")[1].try_cast("int").alias("km100"), "file_id")
-    return x.where("frame is not null and km100 is not null")
+        F.explode(F.regexp_extract_all("body", F.lit(LINE), F.lit(0))).alias("line"),
+    ).where("recording is not null and segment is not null")
+    x = x.select("recording", "segment", "file_id", F.btrim("line", F.lit(BLANKS)).alias("line")).withColumn("sign", F.translate("line", "0123456789", ""))
+    frame, label = F.expr("try_cast(substring_index(line, sign, 1) as long)"), F.expr("try_cast(substring_index(line, sign, -1) as int)")
+    return x.select("recording", "segment", frame.alias("frame"), label.alias("km100"), "file_id").where("frame is not null and km100 is not null")
 
 
 def unreadable_lines(files: DataFrame) -> DataFrame:
     """(file_id, lines): lines that look like a record but whose numbers are too large to be read."""
-    x = files.select("file_id", F.explode(F.split(F.translate("body", "\r", "\n"), "\n")).alias("line"))
-    p = F.split(F.btrim("line", F.lit(" \t\f\x0b")), "[^0-9A-Za-z]")
-    x = x.withColumn("p", p).where((F.size("p") == 2) & F.col("p")[0].rlike("^[0-9]+$") & F.col("p")[1].rlike("^[0-9]+$"))
-    x = x.where(F.col("p")[0].try_cast("long").isNull() | F.col("p")[1].try_cast("int").isNull())
+    x = files.select("file_id", F.explode(F.regexp_extract_all("body", F.lit(LINE), F.lit(0))).alias("line"))
+    x = x.select("file_id", F.btrim("line", F.lit(BLANKS)).alias("line")).withColumn("sign", F.translate("line", "0123456789", ""))
+    x = x.where("try_cast(substring_index(line, sign, 1) as long) is null or try_cast(substring_index(line, sign, -1) as int) is null")
     return x.groupBy("file_id").agg(F.count("*").alias("lines"))
 
 
