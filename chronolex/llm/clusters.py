@@ -139,11 +139,21 @@ def candidates(x: list[np.ndarray], y: list[np.ndarray], min_share: float, max_r
     return np.nonzero((np.maximum(m, n) <= max_ratio * short) & (common >= min_share * short - 1e-3))
 
 
+def _meetings(blocks: DataFrame, max_ratio: float) -> DataFrame:
+    """(i, j), i <= j: the blocks of which some record may be similar to some of the other.
+
+    A join on the power of two of the shortest length: a block looks into the few it can reach.
+    """
+    size = lambda c: F.floor(F.log2(c)).cast("int")
+    i = blocks.select(F.col("block").alias("i"), (F.col("hi") * max_ratio).alias("far"), F.explode(F.sequence(size(F.col("lo")), size(F.col("hi") * max_ratio))).alias("power"))
+    j = blocks.select(F.col("block").alias("j"), F.col("lo").alias("near"), size(F.col("lo")).alias("power"))
+    return i.join(j, "power").where("i <= j and near <= far").select("i", "j")
+
+
 def similar_pairs(seqs: DataFrame, *, min_share: float = 0.65, max_ratio: float = 2.0, part: int = PART) -> DataFrame:
     """(a, b, share), a < b: all similar pairs of ``seqs`` (key, seq), each checked exactly."""
     blocks = materialise(length_blocks(seqs, part), "blocks")
-    i, j = (blocks.select(F.col("block").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}")) for n in "ij")
-    meet = materialise(i.join(j, (F.col("i") <= F.col("j")) & (F.col("lo_j") <= F.col("hi_i") * max_ratio)).select("i", "j"), "meet")
+    meet = materialise(_meetings(blocks, max_ratio), "meet")
     tasks = max(1, math.ceil(meet.count() / 8))
     i, j = (blocks.select(F.col("block").alias(n), F.col("keys").alias(f"keys_{n}"), F.col("data").alias(f"data_{n}")) for n in "ij")
     x = meet.join(i, "i").join(j, "j").repartition(tasks, "i", "j")
