@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import product
 
 import pandas as pd
@@ -57,26 +59,50 @@ def cardinal(n: int) -> str:
 
 
 def inverted_tens(n: int) -> list[str]:
-    """The ones before the tens, as one word and as three."""
-    ones, tens = n % 10, n % 100 - n % 10
-    if not ones or tens < 20:
+    """The ones before the tens, as one word and as three; none for round tens and below 21."""
+    tens, ones = divmod(n % 100, 10)
+    if tens < 2 or ones == 0:
         return []
-    return [f"{cardinal(ones)}{link}{cardinal(tens)}" for link in ("a", " a ")]
+    return [ONES[ones] + link + TENS[tens] for link in ("a", " a ")]
+
+
+@dataclass(frozen=True)
+class Reading:
+    """One way to speak a number: the words of all but its last two digits, then those two.
+
+    ``head`` gives the words from the hundreds; ``spoken`` says of which numbers the way is used;
+    ``bare`` that it also stands without last digits; ``turned`` that they may be turned around and
+    ``straight`` that they may be spoken in order.
+    """
+
+    head: Callable[[int], str]
+    spoken: Callable[[int], bool]
+    bare: bool = True
+    straight: bool = True
+    turned: bool = True
+
+    def of(self, n: int) -> list[str]:
+        hundreds, last = divmod(n, 100)
+        if not self.spoken(n):
+            return []
+        if last == 0:
+            ends = [""] if self.bare else []
+        else:
+            ends = ([cardinal(last)] if self.straight else []) + (inverted_tens(last) if self.turned else [])
+        return [" ".join(w for w in (self.head(hundreds), end) if w) for end in ends]
+
+
+#: The ways of Czech: the number as written; hundreds counted up to nineteen of them; digits in pairs.
+READINGS = (
+    Reading(lambda h: cardinal(h * 100) if h else "", lambda n: n > 0),
+    Reading(lambda h: f"{cardinal(h)} set", lambda n: n // 100 in range(11, 20)),
+    Reading(cardinal, lambda n: n // 1000 in range(1, 10), bare=False, turned=False),
+)
 
 
 def variants(n: int) -> list[str]:
     """Spoken variants of a number, distinct, the plain one first."""
-    out = [cardinal(n)]
-    low, high = n % 100, n - n % 100
-    ends = inverted_tens(low)
-    if n > 20:
-        out += [f"{cardinal(high)} {e}" if high else e for e in ends]
-    if 1100 <= n <= 1999:
-        front = f"{cardinal(high // 100)} set"
-        out += [front] if not low else [f"{front} {e}" for e in [*ends, cardinal(low)]]
-    if 1000 < n < 10000 and low:
-        out.append(f"{cardinal(high // 100)} {cardinal(low)}")
-    return list(dict.fromkeys(out))
+    return _distinct([cardinal(n), *(words for way in READINGS for words in way.of(n))])
 
 
 def leading_zeros(digits: str) -> list[str]:
@@ -170,6 +196,70 @@ def ordinal(n: int) -> str:
     return " ".join(out)
 
 
+#: Fixed values of the language: endings of hard (-ý) and soft (-í) adjectives, by gender and number over the
+#: cases 1 to 7; masculine nouns are animate or not.
+ENDINGS = {
+    ("hard", "masc_a", "sing"): ("ý", "ého", "ému", "ého", "ý", "ém", "ým"),
+    ("hard", "masc_i", "sing"): ("ý", "ého", "ému", "ý", "ý", "ém", "ým"),
+    ("hard", "fem", "sing"): ("á", "é", "é", "ou", "á", "é", "ou"),
+    ("hard", "neut", "sing"): ("é", "ého", "ému", "é", "é", "ém", "ým"),
+    ("hard", "masc_a", "pl"): ("í", "ých", "ým", "é", "í", "ých", "ými"),
+    ("hard", "masc_i", "pl"): ("é", "ých", "ým", "é", "é", "ých", "ými"),
+    ("hard", "fem", "pl"): ("é", "ých", "ým", "é", "é", "ých", "ými"),
+    ("hard", "neut", "pl"): ("á", "ých", "ým", "á", "á", "ých", "ými"),
+    ("soft", "masc_a", "sing"): ("í", "ího", "ímu", "ího", "í", "ím", "ím"),
+    ("soft", "masc_i", "sing"): ("í", "ího", "ímu", "í", "í", "ím", "ím"),
+    ("soft", "fem", "sing"): ("í", "í", "í", "í", "í", "í", "í"),
+    ("soft", "neut", "sing"): ("í", "ího", "ímu", "í", "í", "ím", "ím"),
+    ("soft", "masc_a", "pl"): ("í", "ích", "ím", "í", "í", "ích", "ími"),
+    ("soft", "masc_i", "pl"): ("í", "ích", "ím", "í", "í", "ích", "ími"),
+    ("soft", "fem", "pl"): ("í", "ích", "ím", "í", "í", "ích", "ími"),
+    ("soft", "neut", "pl"): ("í", "ích", "ím", "í", "í", "ích", "ími"),
+}
+
+
+def ordinal_form(n: int, case: int, gender: str, number: str) -> str:
+    """The ordinal in a case 1 to 7, a gender and a number: all its words decline."""
+    out = []
+    for word in ordinal(n).split():
+        kind = "hard" if word.endswith("ý") else "soft"
+        ending = ENDINGS[kind, gender, number][case - 1]
+        stem = word[:-1]
+        if kind == "hard" and ending == "í":  # softened before the ending of animate nominatives
+            stem = stem[:-1] + "ř" if stem.endswith("r") else stem[:-1] + "z" if stem.endswith("h") else stem
+        out.append(stem + ending)
+    return " ".join(out)
+
+
+def groups(n: int) -> list[tuple[int, str]]:
+    """The number cut in threes from the front: (count, form of the scale); the units have no form."""
+    if not 0 <= n < 10**12:
+        raise ValueError(f"{n} is too large for words")
+    out = []
+    for size, one, few, many, _ in SCALES:
+        k, n = divmod(n, size)
+        if k:
+            out.append((k, counted(k, (one, few, many))))
+    return [*out, (n, "")] if n or not out else out
+
+
+def expansions(n: int, inverted: bool = True) -> list[str]:
+    """All ways to speak a number group by group, the groups combined; the plain one first.
+
+    Each group may turn its last two digits around; 1100 to 1999 may count hundreds. A single
+    thousand, million or milliard is its form alone, "jedna" takes the gender of the form, and two of a
+    feminine one are "dvě".
+    """
+    gender = {many: g for _, _, _, many, g in SCALES} | {few: g for _, _, few, _, g in SCALES} | {one: g for _, one, _, _, g in SCALES}
+    parts = []
+    for k, form in groups(n):
+        plain = cardinal(k) if not form else " ".join(_below_thousand(k, gender[form])) if k > 1 else ""
+        turned = [f"{cardinal(k - k % 100)} {t}" if k >= 100 else t for t in inverted_tens(k)] if inverted else []
+        parts.append(_distinct([" ".join(w for w in (p, form) if w) for p in (plain, *turned)]))
+    out = [" ".join(p) for p in product(*parts)]
+    return _distinct([cardinal(n), *out, *(READINGS[1].of(n) if inverted else READINGS[1].of(n)[:1])])
+
+
 def _arrow(f, kind: str):
     @F.pandas_udf(kind)
     def run(x: pd.Series) -> pd.Series:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +51,37 @@ def apply_filters(df: DataFrame, filters: Iterable[Bound], fail_if_empty: bool =
     return out
 
 
+#: The default quality bounds of a segment, in order; one column may be bounded twice.
+QUALITY = (
+    Bound("missed_chars_percentage__segments", 0.065, upper=True),
+    Bound("char_norm_word_dist_80__segments", 0.3, upper=True),
+    Bound("std_norm_word_dist_with_gaps__segments", 0.334, upper=True),
+    Bound("recognized_sound_coverage__segments", 0.625),
+    Bound("std_char_duration__segments", 0.175, upper=True),
+    Bound("avg_char_duration__segments", 0.175, upper=True),
+    Bound("char_norm_word_dist_with_gaps_90__segments", 0.795, upper=True, strict=True),
+    Bound("avg_norm_word_dist__segments", 0.165, upper=True, strict=True),
+    Bound("duration__segments", 54, upper=True, strict=True),
+    Bound("duration__segments", 0.81, strict=True),
+    Bound("missed_words_percentage__segments", 0.118, upper=True, strict=True),
+    Bound("missed_chars_percentage__segments", 0.052, upper=True, strict=True),
+    Bound("char_norm_word_dist_with_gaps_60__segments", 0.11, upper=True, strict=True),
+    Bound("median_norm_word_dist__segments", 0.01, upper=True, strict=True),
+)
+
+
+def quality_bounds(**values: float) -> list[Bound]:
+    """``QUALITY`` with other values: by column name, followed by _ub or _lb where a column has both kinds."""
+    out = []
+    for b in QUALITY:
+        side = "_ub" if b.upper else "_lb"
+        out.append(replace(b, value=values.get(b.name + side, values.get(b.name, b.value))))
+    unknown = set(values) - {b.name + side for b in QUALITY for side in ("", "_ub", "_lb")}
+    if unknown:
+        raise KeyError(f"no bounds on {sorted(unknown)}")
+    return out
+
+
 def member(df: DataFrame, keys: DataFrame, on: list[str], negate: bool = False) -> DataFrame:
     """Rows whose key is (not) among ``keys``; a null key is in no list."""
     return df.join(keys.select(*on).distinct(), on, "left_anti" if negate else "left_semi")
