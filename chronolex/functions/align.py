@@ -6,6 +6,7 @@ Dynamic programmes over single rows; they run in Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,9 +26,10 @@ def levenshtein(a: str, b: str) -> int:
     return row[-1]
 
 
+@lru_cache(maxsize=1 << 16)
 def likeness(a: str, b: str) -> float:
-    """Length of the longer word less the edit distance."""
-    return max(len(a), len(b)) - levenshtein(a, b)
+    """Length of the longer word less the edit distance; words meet again and again, so it is kept."""
+    return len(a) if a == b else max(len(a), len(b)) - levenshtein(a, b)
 
 
 def align(a: list[str], b: list[str], gaps: tuple[float, float], local: bool, match: Callable[[str, str], float] = likeness) -> tuple[float, Pairs]:
@@ -103,15 +105,41 @@ def evaluate(pairs: Pairs) -> tuple[int, float, bool, int]:
     return total, score, False, count
 
 
-def rank_candidates(candidates: list[str], heard: str, most: int) -> list[tuple[str, float]]:
-    """Candidates by likeness to what was heard, those with a gap left out; best first, ties in order."""
+def rank_candidates(candidates: list[str], heard: str, most: int | None, repeats: int = 0) -> list[tuple[str, float]]:
+    """Candidates by likeness to what was heard, those with a gap left out; best first, ties in order.
+
+    ``most`` and one more for each of ``repeats`` are kept; without ``most`` all are.
+    """
+    said = heard.split()
     out = []
     for c in candidates:
-        _, pairs = align(c.split(), heard.split(), LOCAL, True)
+        words = c.split()
+        _, pairs = align(words, said, LOCAL, True)
         total, score, gap, count = evaluate(pairs)
-        if total and not gap and count == len(c.split()):
+        if total and not gap and count == len(words):
             out.append((c, score / total + 0.02 * count))
-    return sorted(out, key=lambda x: -x[1])[:most]
+    return sorted(out, key=lambda x: -x[1])[: None if most is None else most + repeats]
+
+
+def best_ties(ranked: list[tuple[str, float]]) -> list[str]:
+    """All candidates that share the best score."""
+    return [c for c, score in ranked if score >= ranked[0][1] - 1e-9]
+
+
+def printed(pairs: Pairs) -> str:
+    """An alignment as two lines of columns, gaps as dashes."""
+    width = [max(len(x), len(y)) for x, y in pairs]
+    return "\n".join(" ".join(p[side].ljust(w) for p, w in zip(pairs, width)).rstrip() for side in (0, 1))
+
+
+def alignment_text(a: Column, b: Column, local: bool) -> Column:
+    """The best alignment of two texts' words as ``printed``; null where either is null."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or t is None else printed(align(s.split(), t.split(), LOCAL if local else GLOBAL, local)[1]) for s, t in zip(x, y)], dtype=object)
+
+    return run(a, b)
 
 
 def alignment_score(a: Column, b: Column, local: bool) -> Column:
@@ -124,11 +152,11 @@ def alignment_score(a: Column, b: Column, local: bool) -> Column:
     return run(a, b)
 
 
-def ranked(candidates: Column, heard: Column, most: int) -> Column:
+def ranked(candidates: Column, heard: Column, most: int, repeats: Column | None = None) -> Column:
     """``rank_candidates`` over columns: the best texts of an array, in Arrow batches."""
 
     @F.pandas_udf("array<string>")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None or t is None else [w for w, _ in rank_candidates(list(c), t, most)] for c, t in zip(x, y)], dtype=object)
+    def run(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None or t is None else [w for w, _ in rank_candidates(list(c), t, most, int(k))] for c, t, k in zip(x, y, n)], dtype=object)
 
-    return run(candidates, heard)
+    return run(candidates, heard, F.lit(0) if repeats is None else repeats)

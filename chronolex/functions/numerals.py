@@ -277,6 +277,26 @@ def number_variants(n: Column) -> Column:
     return _arrow(lambda v: variants(int(v)), "array<string>")(n)
 
 
+def number_expansions(n: Column) -> Column:
+    return _arrow(lambda v: expansions(int(v)), "array<string>")(n)
+
+
+def ordinal_words(n: Column) -> Column:
+    """Ordinals of a column; null outside 1 to 999."""
+    return _arrow(lambda v: ordinal(int(v)) if 0 < v < 1000 else None, "string")(n)
+
+
+def ordinal_paradigm(n: Column) -> Column:
+    """All forms of an ordinal as an array of (cas, gen, num, form)."""
+
+    @F.pandas_udf("array<struct<cas:string,gen:string,num:string,form:string>>")
+    def run(x: pd.Series) -> pd.Series:
+        places = [(c, g, m) for kind, g, m in ENDINGS if kind == "hard" for c in range(1, 8)]
+        return x.map(lambda v: None if v is None or v != v else [{"cas": str(c), "gen": g, "num": m, "form": ordinal_form(int(v), c, g, m)} for c, g, m in places])
+
+    return run(n)
+
+
 def spoken_times(text: Column) -> Column:
     return _arrow(time_variants, "array<string>")(text)
 

@@ -1,7 +1,12 @@
-"""String and regular-expression functions on columns, all built from JVM-side expressions."""
+"""String and regular-expression functions on columns, built from JVM-side expressions but for ``find_floats``."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -106,22 +111,65 @@ def digit_classes(text: Column) -> dict[str, Column]:
     }
 
 
-def find_floats(text: Column, suffixes: list[str], prefixes: list[str]) -> Column:
+#: What stands behind a decimal, and before one, in the order in which it is looked for.
+FLOAT_SUFFIXES = (
+    "řádku", "dny", "exekuce", "průměrné", "gramu", "GHz", "decibelu",
+    "mld", "miliardy", "milionu", "mil .", "mil ", "%", "procentní",
+    "tisíce", "stupně", "krát", "prac", "Kč", "promile", "metru",
+    "tis ", "bili", "náso", "hod", "letech", "do", "desetinásobku",
+    "bil ", "hrubé", "procenta", "roku", "HDP", "dne ", "miliony",
+    "km", "miliony", "kilometru", "minuty", "měsíce", "měsících",
+    "tuny", "miliarda", "koruny", "dítěte", "eura", "megawattu",
+    "týdne", "za ", "až",
+)
+FLOAT_PREFIXES = (
+    "deficit", "těch", "minus", "kolem", "výši", "nebo", "bude", "než",
+    "ani", "plat", "nějaké", "úvazek", "nadýchal", "plnění", "hodnoty",
+    "hranici", "mezi", "tam", "nad", "měli", " ze", "nejsou", "PM",
+    "asi", "na", "být", "je", " na", " z", " od", " do", " mezi",
+    "částkou", "současných", "tolerance", "činit", "růst", "krát",
+    "koeficientu", "koeficientem", "koeficient", "koeficient na",
+    "tempo", "průměrně", "plocha", "plus", "hodnotu", "násobku",
+    "přebytek", "čísle", "komise", "průmysl", "Proč", "prostě",
+    "rozpočtováno", "utraceno", "vybírám",
+)
+
+
+def floats_in(text: str, suffixes: Sequence[str] = FLOAT_SUFFIXES, prefixes: Sequence[str] = FLOAT_PREFIXES) -> list[str]:
     """Decimals ``w , d`` as ``w d``: leading zero, then before a suffix, after a prefix, at the start.
 
-    Each hit is blanked before the next rule looks. An ordered fold over the rules.
+    Each hit is blanked, with its suffix or prefix, before the next rule looks.
     """
-    number = r"\d+\s,\s\d+"
-    rules = [r"\s(0\s,\s\d+)", *(rf"({number}) {s}" for s in suffixes), *(rf"{p} ({number})" for p in prefixes), rf"^({number})"]
-    start = F.struct(F.lower(text).alias("rest"), F.array().cast("array<string>").alias("hits"))
+    rest, hits = text.lower(), []
+    if not _FLOAT.search(rest):
+        return hits
+    rules = [("", _ZERO), *((s, _rule(f"({_FLOAT.pattern}) {s}")) for s in suffixes), *((p, _rule(f"{p} ({_FLOAT.pattern})")) for p in prefixes), ("", _FIRST)]
+    for beside, rule in rules:
+        if beside.split(".")[0] not in rest:
+            continue
+        for m in list(rule.finditer(rest)):
+            hits.append(m.group(1))
+            blank = m.group(1) if rule is _ZERO or rule is _FIRST else m.group()
+            rest = rest.replace(blank, "X" * len(blank), 1)
+    return [re.sub(r"\s,\s", " ", h) for h in hits]
+
+
+@lru_cache(maxsize=1024)
+def _rule(pattern: str) -> re.Pattern:
+    return re.compile(pattern)
+
+
+_FLOAT, _ZERO, _FIRST = (re.compile(p) for p in (r"\d+\s,\s\d+", r"\s(0\s,\s\d+)", r"^(\d+\s,\s\d+)"))
+
+
+def find_floats(text: Column, suffixes: Sequence[str] = FLOAT_SUFFIXES, prefixes: Sequence[str] = FLOAT_PREFIXES) -> Column:
+    """``floats_in`` over a column, in Arrow batches: a hundred ordered rules, each on what the ones before left."""
 
-    def apply(a: Column, rule: Column) -> Column:
-        hits = F.regexp_extract_all(a["rest"], rule, F.lit(1))
-        blank = F.aggregate(hits, a["rest"], lambda r, h: replace_first(r, h, F.repeat(F.lit("X"), F.length(h))))
-        return F.struct(blank.alias("rest"), F.concat(a["hits"], hits).alias("hits"))
+    @F.pandas_udf("array<string>")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else floats_in(t, suffixes, prefixes))
 
-    out = F.aggregate(F.array(*map(F.lit, rules)), start, apply)["hits"]
-    return F.transform(out, lambda h: F.regexp_replace(h, r"\s,\s", " "))
+    return run(text)
 
 
 def find_order(text: Column, items: list[str]) -> Column:

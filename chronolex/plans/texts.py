@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex.functions import align, numerals
@@ -109,28 +109,44 @@ def find_times(spark: S, d: str) -> D:
     return _spoken(spark, d).select("segm", T.find_times(F.col("t")).alias("times"))
 
 
-_DATES = "('dne 5 . 3 . 2019 a 31 . 12 .'), ('do 45 . 3 . a 1 . 13 .'), ('bez data'), (NULL), ('9 . 9 . 99 9 . 9 .')"
+#: The texts with every full stop and comma a token of its own.
+_TOKENS = "tok AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([.,])', ' \\1 ', 'g'), ' +', ' ', 'g') AS t FROM documents)"
 
 
-@query(f"WITH x(t) AS (VALUES {_DATES}), y AS (SELECT t, list_transform(regexp_extract_all(t, '[0-9]+\\s\\.\\s[0-9]+\\s\\.\\s*[0-9]*'), lambda v: trim(regexp_replace(replace(v, '.', ' '), '\\s+', ' ', 'g'))) AS c FROM x) SELECT t, list_filter(c, lambda v: CAST(split_part(v, ' ', 1) AS INT) BETWEEN 1 AND 31 AND CAST(split_part(v, ' ', 2) AS INT) BETWEEN 0 AND 12) AS dates FROM y")
+def _tokens(spark: S, d: str) -> D:
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", "([.,])", " $1 "), " +", " ").alias("t"))
+
+
+@query(f"WITH {_TOKENS}, y AS (SELECT doc_id, list_transform(regexp_extract_all(t, '[0-9]+\\s\\.\\s[0-9]+\\s\\.\\s*[0-9]*'), lambda v: trim(regexp_replace(replace(v, '.', ' '), '\\s+', ' ', 'g'))) AS c FROM tok) SELECT doc_id, list_filter(c, lambda v: coalesce(TRY_CAST(split_part(v, ' ', 1) AS INT), 0) BETWEEN 1 AND 31 AND coalesce(TRY_CAST(split_part(v, ' ', 2) AS INT), 0) BETWEEN 0 AND 12) AS dates FROM y")
 def find_dates(spark: S, d: str) -> D:
     """Dates of day and month, impossible ones left out."""
-    x = spark.createDataFrame([("dne 5 . 3 . 2019 a 31 . 12 .",), ("do 45 . 3 . a 1 . 13 .",), ("bez data",), (None,), ("9 . 9 . 99 9 . 9 .",)], "t string")
-    return x.select("t", T.find_dates(F.col("t")).alias("dates"))
+    return _tokens(spark, d).select("doc_id", T.find_dates(F.col("t")).alias("dates"))
 
 
-@query("WITH x(t) AS (VALUES ('23 . ledna a 5 . červen'), ('dne 1. května'), ('leden')) SELECT t, regexp_extract_all(t, '([0-9]+)\\s?\\.\\s(?:led|únor|břez|dub|květ|červen|červ|srp|září|říj|listopad|prosin)', 1) AS days FROM x")
+@query(f"WITH {_TOKENS} SELECT doc_id, regexp_extract_all(t, '([0-9]+)\\s?\\.\\s(?:led|únor|břez|dub|květ|červen|červ|srp|září|říj|listopad|prosin)', 1) AS days FROM tok")
 def find_month_dates(spark: S, d: str) -> D:
     """Days before the name of a month."""
-    x = spark.createDataFrame([("23 . ledna a 5 . červen",), ("dne 1. května",), ("leden",)], "t string")
-    return x.select("t", T.find_month_dates(F.col("t")).alias("days"))
+    return _tokens(spark, d).select("doc_id", T.find_month_dates(F.col("t")).alias("days"))
 
 
 @query()
 def find_floats(spark: S, d: str) -> D:
-    """Decimals found by ordered rules."""
-    x = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"(\d),(\d)", "$1 , $2").alias("t"))
-    return x.select("doc_id", T.find_floats(F.col("t"), ["milionu", "procent", "%"], ["za", "kolem", "minus"]).alias("floats"))
+    """Decimals found by the ordered rules."""
+    return _tokens(spark, d).select("doc_id", T.find_floats(F.col("t")).alias("floats"))
+
+
+@query("SELECT doc_id, CASE WHEN strpos(r, 'města') > 0 THEN substr(r, 1, strpos(r, 'města') - 1) || 'KRAJE' || substr(r, strpos(r, 'města') + 5) ELSE r END AS text FROM (SELECT doc_id, CASE WHEN strpos(text, 'obce') > 0 THEN substr(text, 1, strpos(text, 'obce') - 1) || 'MĚSTA' || substr(text, strpos(text, 'obce') + 4) ELSE text END AS r FROM documents)")
+def apply_replacements(spark: S, d: str) -> D:
+    """Replacements in order, each of its first occurrence, in capitals."""
+    pair = lambda a, b: F.struct(F.lit(a).alias("find"), F.lit(b).alias("by"))
+    return table(spark, d, "documents").select("doc_id", T.apply_replacements(F.col("text"), F.array(pair("obce", "města"), pair("města", "kraje"))).alias("text"))
+
+
+@query("SELECT doc_id, list_transform(list_sort(list_transform(['obce', 'zákon', 'a'], lambda i: {'at': strpos(text, i), 'item': i})), lambda s: s.item) AS items FROM documents WHERE text IS NOT NULL")
+def by_position(spark: S, d: str) -> D:
+    """Items in order of where they first stand, absent ones first."""
+    items = F.array(*map(F.lit, ("obce", "zákon", "a")))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.by_position(F.col("text"), items).alias("items"))
 
 
 @query("SELECT doc_id, regexp_matches(text, '[0-9]+\\s?,\\s?[0-9]+') AS floats, len(list_filter(regexp_extract_all(text, '[0-9]+\\.[0-9]+'), lambda x: regexp_full_match(x, '[0-9]{2}\\.[0-9]{2}'))) > 0 AS times FROM documents")
@@ -162,30 +178,43 @@ def edit_similarity(spark: S, d: str) -> D:
     return aligned(spark, d).select("id", N.edit_similarity(a, b).cast("long").alias("similarity"))
 
 
+_PLACE = r"^(.*)-(\d{1,18})$"
+
+
 def _transcripts(spark: S, d: str) -> D:
-    """(recording, part, gold, heard): true and recognised words of a recording in order, 40 at a time."""
-    w = Window.partitionBy("recording").orderBy(F.col("start").asc_nulls_last(), "id")
-    x = aligned(spark, d).withColumn("part", F.floor((F.row_number().over(w) - 1) / 40))
-    x = x.groupBy("recording", "part").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("start", F.lit(1e12)).alias("s"), "id", "true_w", F.coalesce("trans_w", F.lit("")).alias("trans_w")))).alias("w"))
-    return x.select("recording", "part", F.array_join(F.col("w.true_w"), " ").alias("gold"), F.array_join(F.filter(F.col("w.trans_w"), lambda t: t != ""), " ").alias("heard"))
+    """(recording, segment, gold, heard): true and recognised words of each whole segment, in the order of their ids.
+
+    A word's id is its segment and its place in it, so words without times stay where they were said.
+    """
+    x = aligned(spark, d).where(F.col("id").rlike(_PLACE))
+    word = F.struct(F.regexp_extract("id", _PLACE, 2).cast("long").alias("at"), "true_w", "trans_w")
+    x = x.groupBy("recording", F.regexp_extract("id", _PLACE, 1).alias("segment")).agg(F.array_sort(F.collect_set(word)).alias("w"))
+    return x.select("recording", "segment", F.array_join(F.col("w.true_w"), " ").alias("gold"), F.array_join(F.filter(F.col("w.trans_w"), lambda t: t.isNotNull() & (t != "")), " ").alias("heard"))
 
 
 @query()
 def local_align(spark: S, d: str) -> D:
     """Score of the best local alignment of what was said and heard."""
-    return _transcripts(spark, d).select("recording", "part", F.round(align.alignment_score(F.col("gold"), F.col("heard"), True), 6).alias("score"))
+    return _transcripts(spark, d).select("recording", "segment", F.round(align.alignment_score(F.col("gold"), F.col("heard"), True), 6).alias("score"))
 
 
 @query()
 def global_align(spark: S, d: str) -> D:
     """Score of the best alignment from end to end."""
-    return _transcripts(spark, d).select("recording", "part", F.round(align.alignment_score(F.col("gold"), F.col("heard"), False), 6).alias("score"))
+    return _transcripts(spark, d).select("recording", "segment", F.round(align.alignment_score(F.col("gold"), F.col("heard"), False), 6).alias("score"))
+
+
+@query()
+def print_alignment(spark: S, d: str) -> D:
+    """The best alignment from end to end as two lines of columns."""
+    return _transcripts(spark, d).select("recording", "segment", align.alignment_text(F.col("gold"), F.col("heard"), False).alias("lines"))
 
 
 @query()
 def normalise_transcript(spark: S, d: str) -> D:
-    """Transcripts with numbers written the way they were spoken."""
-    return _transcripts(spark, d).select("recording", "part", transcripts.normalise_transcript(F.col("gold"), F.col("heard")).alias("text"))
+    """Whole transcripts with numbers written the way they were spoken, a row for each of the best ways."""
+    x = _transcripts(spark, d).select("recording", "segment", transcripts.normalise_transcript(F.col("gold"), F.col("heard")).alias("texts"))
+    return x.select("recording", "segment", F.explode("texts").alias("text"))
 
 
 def _spelt(c: str) -> Column:
@@ -194,17 +223,53 @@ def _spelt(c: str) -> Column:
     return F.when(n < 10**12, n)
 
 
-@query()
+_arr = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _below(k: str, gender: str = "") -> str:
+    """SQL of the words of a number from 1 to 999."""
+    ones = ["", *numerals.ONES[1:]]
+    if gender == "masc":
+        ones[1] = "jeden"
+    if gender == "fem":
+        ones[2] = "dvě"
+    one = lambda i: f"nullif(list_extract({_arr(ones)}, CAST({i} AS INT) + 1), '')"
+    return f"concat_ws(' ', nullif(list_extract({_arr(numerals.HUNDREDS)}, CAST({k} // 100 AS INT) + 1), ''), CASE WHEN {k} % 100 >= 20 THEN list_extract({_arr(numerals.TENS)}, CAST({k} % 100 // 10 AS INT) + 1) END, CASE WHEN {k} % 100 >= 20 THEN {one(f'{k} % 10')} ELSE {one(f'{k} % 100')} END)"
+
+
+def _in_words(n: str) -> str:
+    """SQL of ``cardinal`` below 10**12."""
+    parts = []
+    for size, single, few, many, gender in numerals.SCALES:
+        k = f"({n} // {size} % 1000)"
+        parts.append(f"CASE WHEN {k} > 0 THEN concat_ws(' ', CASE WHEN {k} > 1 THEN {_below(k, gender)} END, CASE WHEN {k} = 1 THEN '{single}' WHEN {k} < 5 THEN '{few}' ELSE '{many}' END) END")
+    return f"CASE WHEN {n} = 0 THEN 'nula' ELSE concat_ws(' ', {', '.join(parts)}, nullif({_below(f'({n} % 1000)')}, '')) END"
+
+
+@query(f"WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS n FROM documents), k AS (SELECT *, TRY_CAST(n AS BIGINT) AS v FROM d) SELECT doc_id, n, CASE WHEN v < 1000000000000 THEN {_in_words('v')} END AS words FROM k")
 def cardinal_words(spark: S, d: str) -> D:
     """Numbers of a text in words, null from 10**12 on."""
     x = table(spark, d, "documents").select("doc_id", F.explode(T.find_digits(F.col("text"))).alias("n"))
     return x.select("doc_id", "n", numerals.cardinal_words(_spelt("n")).alias("words")).distinct()
 
 
-@query()
+_TURNED = f"SELECT unnest([l || 'a' || t, l || ' a ' || t]) AS tail, id FROM (SELECT id, list_extract({_arr(numerals.ONES)}, CAST(id % 10 AS INT) + 1) AS l, list_extract({_arr(numerals.TENS)}, CAST(id % 100 // 10 AS INT) + 1) AS t FROM n WHERE id % 10 > 0 AND id % 100 > 20)"
+
+
+@query(f"""WITH n AS (SELECT unnest(range(0, 12000)) AS id), turned AS ({_TURNED}), tails AS (SELECT id, tail FROM turned UNION ALL SELECT id, {_in_words('(id % 100)')} FROM n WHERE id % 100 > 0)
+SELECT id, {_in_words('id')} AS variant FROM n UNION SELECT id, CASE WHEN id >= 100 THEN {_in_words('(id - id % 100)')} || ' ' ELSE '' END || tail FROM turned
+UNION SELECT id, {_in_words('(id // 100)')} || ' set' FROM n WHERE id BETWEEN 1100 AND 1999 AND id % 100 = 0 UNION SELECT id, {_in_words('(id // 100)')} || ' set ' || tail FROM tails WHERE id BETWEEN 1100 AND 1999
+UNION SELECT id, {_in_words('(id // 100)')} || ' ' || {_in_words('(id % 100)')} FROM n WHERE id BETWEEN 1000 AND 9999 AND id % 100 > 0""")
 def number_variants(spark: S, d: str) -> D:
-    """All spoken forms of the numbers below 2000."""
-    return spark.range(2000).select("id", F.explode(numerals.number_variants(F.col("id"))).alias("variant"))
+    """All spoken forms of the numbers below 12000."""
+    return spark.range(12000).select("id", F.explode(numerals.number_variants(F.col("id"))).alias("variant"))
+
+
+@query()
+def number_expansions(spark: S, d: str) -> D:
+    """Numbers of the documents spoken group by group, the ways of the groups combined; null from 10**12 on."""
+    x = table(spark, d, "documents").select(F.explode(T.find_digits(F.col("text"))).alias("n")).distinct()
+    return x.select("n", F.explode_outer(numerals.number_expansions(_spelt("n"))).alias("variant"))
 
 
 @query()
@@ -221,10 +286,17 @@ def decimal_variants(spark: S, d: str) -> D:
     return x.select("decimal", F.explode(numerals.spoken_decimals(F.col("decimal"))).alias("variant"))
 
 
-@query()
+@query(f"SELECT CAST(n AS INT) AS n, concat_ws(' ', nullif(list_extract({_arr(numerals.ORDINAL_HUNDREDS)}, CAST(n // 100 AS INT) + 1), ''), CASE WHEN n % 100 >= 20 THEN list_extract({_arr(numerals.ORDINAL_TENS)}, CAST(n % 100 // 10 AS INT) + 1) END, nullif(list_extract({_arr(numerals.ORDINAL_ONES)}, CAST(CASE WHEN n % 100 >= 20 THEN n % 10 ELSE n % 100 END AS INT) + 1), '')) AS word FROM (SELECT unnest(range(1, 1000)) AS n)")
 def ordinal_table(spark: S, d: str) -> D:
     """Ordinals below 1000."""
-    return spark.createDataFrame([(n, numerals.ordinal(n)) for n in range(1, 1000)], "n int, word string")
+    return spark.range(1, 1000).select(F.col("id").cast("int").alias("n"), numerals.ordinal_words(F.col("id")).alias("word"))
+
+
+@query()
+def ordinal_forms(spark: S, d: str) -> D:
+    """Ordinals below 1000 in all cases, genders and numbers."""
+    x = spark.range(1, 1000).select(F.col("id").cast("int").alias("n"), F.explode(numerals.ordinal_paradigm(F.col("id"))).alias("f"))
+    return x.select("n", "f.*")
 
 
 @query("SELECT doc_id, [CAST(strpos(text, 'obce') AS INT), CAST(strpos(CASE WHEN strpos(text, 'obce') > 0 THEN substr(text, 1, strpos(text, 'obce') - 1) || 'XXXX' || substr(text, strpos(text, 'obce') + 4) ELSE text END, 'obce') AS INT)] AS at FROM documents WHERE text IS NOT NULL")
@@ -237,6 +309,7 @@ def find_order(spark: S, d: str) -> D:
 def rank_candidates(spark: S, d: str) -> D:
     """The spoken forms of a number nearest to what was heard, null from 10**12 on."""
     x = _transcripts(spark, d).where(F.col("gold").rlike(r"\d"))
-    x = x.select("recording", "part", "heard", F.explode(T.find_digits(F.col("gold"))).alias("n"))
+    x = x.select("recording", "segment", "heard", F.explode(T.find_digits(F.col("gold"))).alias("n"))
+    x = x.groupBy("recording", "segment", "heard", "n").agg(F.count("*").alias("times"))
     x = x.withColumn("variants", numerals.number_variants(_spelt("n")))
-    return x.select("recording", "part", "n", align.ranked(F.col("variants"), F.col("heard"), 2).alias("ranked"))
+    return x.select("recording", "segment", "n", "times", align.ranked(F.col("variants"), F.col("heard"), 2, F.col("times")).alias("ranked"))

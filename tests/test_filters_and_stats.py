@@ -68,3 +68,16 @@ def test_nested_means_hours_and_clock(spark):
     assert values(spark).agg(S.hours(F.col("x"))).first()[0] == 6 / 3600
     assert values(spark).limit(0).agg(S.hours(F.col("x"))).first()[0] == 0
     assert spark.range(1).select(S.minutes_seconds(F.lit(125.9))).first()[0] == "2:5"
+
+
+def test_quality_preset_and_its_parameters(spark):
+    b = L.quality_bounds(duration__segments_lb=2, missed_chars_percentage__segments=0.1)
+    assert len(b) == 14 and [x.value for x in b if x.name == "duration__segments"] == [54, 2] and [x.value for x in b if x.name == "missed_chars_percentage__segments"] == [0.1, 0.1]
+    with pytest.raises(KeyError):
+        L.quality_bounds(nothing=1)
+    good = {x.name: x.value + (-0.001 if x.upper else 0.001) for x in L.QUALITY} | {"duration__segments": 10.0, "missed_chars_percentage__segments": 0.051}
+    rows = [good] + [good | {x.name: x.value + (0.001 if x.upper else -0.001)} for x in L.QUALITY] + [good | {x.name: None} for x in L.QUALITY] + [good | {x.name: float("nan")} for x in L.QUALITY]
+    names = list(good)
+    df = spark.createDataFrame([tuple(None if r[n] is None else float(r[n]) for n in names) for r in rows], ", ".join(f"{n} double" for n in names))
+    kept = L.apply_filters(df, L.QUALITY).collect()
+    assert all(tuple(k) == tuple(float(good[n]) for n in names) for k in kept) and len(kept) == 1

@@ -107,9 +107,9 @@ def test_numerals():
 
 
 def test_transcripts(value):
-    assert transcripts.normalised("začátek v 12.30 hodin", "začátek ve dvanáct hodin třicet minut") == "začátek v DVANÁCT HODIN TŘICET MINUT"
-    assert transcripts.normalised("má 25 lidí", "má pětadvacet lidí") == "má PĚTADVACET lidí"
-    assert transcripts.normalised("Tj. 5", "xyz") == "tj. 5" and transcripts.normalised("Ahoj §", None) == "ahoj paragraf"
+    assert transcripts.normalised("začátek v 12.30 hodin", "začátek ve dvanáct hodin třicet minut") == ["začátek v DVANÁCT HODIN TŘICET MINUT"]
+    assert transcripts.normalised("má 25 lidí", "má pětadvacet lidí") == ["má PĚTADVACET lidí"]
+    assert transcripts.normalised("Tj. 5", "xyz") == ["tj. 5"] and transcripts.normalised("Ahoj §", None) == ["ahoj paragraf"]
     assert value(transcripts.normalise_transcript(F.lit(None).cast("string"), F.lit("a"))) is None
 
 
@@ -122,3 +122,57 @@ def test_audio(value):
     back = audio.resample(audio.resample(wave, 16000, 32000), 32000, 16000)
     assert np.abs(back - wave)[200:-200].max() < 0.02
     assert np.allclose(audio.cosine_basis(40, 40) @ audio.cosine_basis(40, 40).T, np.eye(40))
+
+
+def test_ties_give_a_text_each_and_accents_may_go():
+    # both readings of the year are heard in full and equally well
+    assert transcripts.normalised("rok 1203 a 1203", "tisíc dvě stě tři dvanáct set tři") == [f"rok {w} a {w}" for w in ("TISÍC DVĚ STĚ TŘI",)]
+    tied = align.best_ties([("a", 1.0), ("b", 1.0), ("c", 0.5)])
+    assert tied == ["a", "b"]
+    assert transcripts.normalised("Má 25 §", "pětadvacet", accents=False) == ["ma PETADVACET paragraf"]
+    assert transcripts.normalised(None, "x") is None and transcripts.normalised("", None) == [""]
+
+
+def test_ranking_keeps_more_for_repeats_and_prints():
+    said = "pět pětadvacet dvacet pět"
+    assert len(align.rank_candidates(["pět", "pětadvacet", "dvacet pět"], said, 1)) == 1
+    assert len(align.rank_candidates(["pět", "pětadvacet", "dvacet pět"], said, 1, repeats=1)) == 2
+    assert align.printed([("ano", "ano"), ("-", "xx"), ("ne", "-")]) == "ano -  ne\nano xx -"
+    assert align.printed([]) == "\n"
+
+
+def brute_floats(text, suffixes, prefixes):
+    """The rules one by one, by plain searching."""
+    import re
+
+    rest, out = text.lower(), []
+    for kind, s in [("zero", ""), *(("suffix", s) for s in suffixes), *(("prefix", p) for p in prefixes), ("start", "")]:
+        pattern = {"zero": r"(?<=\s)0\s,\s\d+", "suffix": rf"\d+\s,\s\d+(?= {s})", "prefix": rf"(?<={re.escape(s)} )\d+\s,\s\d+", "start": r"^\d+\s,\s\d+"}[kind]
+        for m in re.finditer(pattern, rest):
+            out.append(m.group().replace(" , ", " "))
+            whole = {"suffix": m.group() + " " + s, "prefix": s + " " + m.group()}.get(kind, m.group())
+            rest = rest.replace(whole, "X" * len(whole), 1)
+    return out
+
+
+def test_floats_by_all_rules():
+    r = np.random.default_rng(4)
+    beside = ["kč", "do", "za", "kolem", "minus", "xyz", "procenta", "je"]
+    suffixes, prefixes = [s for s in T.FLOAT_SUFFIXES if s in beside], [p for p in T.FLOAT_PREFIXES if p in beside]
+    for _ in range(60):
+        words = [str(r.choice(beside)) if r.random() < 0.6 else f"{r.integers(0, 3)} , {r.integers(0, 90)}" for _ in range(12)]
+        text = " ".join(words)
+        assert T.floats_in(text, suffixes, prefixes) == brute_floats(text, suffixes, prefixes)
+    assert T.floats_in("3 , 5 mil . a 7 , 2 km za 1 , 1") == ["3 5", "7 2"] and T.floats_in("nic") == []
+
+
+def test_expansions_and_inflected_ordinals():
+    assert numerals.expansions(0) == ["nula"] and numerals.expansions(1_000) == ["tisíc"] and numerals.expansions(2_000_001) == ["dva miliony jedna"]
+    assert {"pětadvacet tisíc jednaadvacet", "dvacet pět tisíc dvacet jedna"} <= set(numerals.expansions(25_021))
+    assert "devatenáct set osmdesát devět" in numerals.expansions(1989) and "devětaosmdesát" not in " ".join(numerals.expansions(1989, inverted=False))
+    with pytest.raises(ValueError):
+        numerals.expansions(10**12)
+    form = numerals.ordinal_form
+    assert [form(34, 2, "fem", "sing"), form(2, 1, "masc_a", "pl"), form(1, 3, "neut", "sing"), form(4, 4, "masc_a", "sing"), form(4, 1, "masc_i", "pl")] == ["třicáté čtvrté", "druzí", "prvnímu", "čtvrtého", "čtvrté"]
+    for n in range(1, 1000):
+        assert form(n, 1, "masc_a", "sing") == form(n, 1, "masc_i", "sing") == numerals.ordinal(n)
