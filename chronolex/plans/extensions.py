@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronolex.operators import relational as rel
 from chronolex.plans.base import ALIGNED, SEG, WORDS, aligned, segments, words
 from chronolex.plans.registry import query, table
+from chronolex.shared import fresh_path
 from chronolex.streaming import windows
 
 S = SparkSession
@@ -134,8 +135,59 @@ def x_stream_dedup(spark: S, d: str) -> D:
     return windows.drain(spark, windows.deduplicated(e, "ts", ["event_id"], "400 days"), "append").select("event_id", "user_id")
 
 
-@query()
+@query("WITH g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS run FROM events) SELECT CAST(user_id AS VARCHAR) AS key, event_type AS value, min(ts) AS start, max(ts) AS \"end\", count(*) AS n FROM g GROUP BY user_id, event_type, run")
 def x_stream_runs(spark: S, d: str) -> D:
-    """Finished runs of one event type per user, from state kept by user."""
-    e = windows.file_stream(spark, d, "events")
-    return windows.drain(spark, windows.run_lengths(e, "user_id", "ts", F.col("event_type")), "append")
+    """Runs of one event type per user, from state kept by user, those still open at the end too."""
+    x = windows.drained_runs(spark, windows.file_stream(spark, d, "events"), "user_id", "ts", F.col("event_type"))
+    return x.select("key", "value", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, run")
+def x_stream_sessions(spark: S, d: str) -> D:
+    """Sessions of users, from a stream run to its end."""
+    e = windows.file_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    x = windows.drain(spark, windows.sessions(e, "ts", "30 minutes", ["user_id"], "value"))
+    return x.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query(f"WITH {SEG} SELECT a.recording, a.idx, count(*) AS longer FROM seg a JOIN seg b ON a.recording = b.recording AND b.duration > a.duration AND b.words < a.words GROUP BY 1, 2")
+def x_theta(spark: S, d: str) -> D:
+    """Segments of the same recording that are longer and have fewer words: a join by inequalities."""
+    a = segments(spark, d).select("recording", "idx", "duration", "words")
+    b = a.select("recording", F.col("duration").alias("d"), F.col("words").alias("w"))
+    return rel.theta_join(a, b, ["recording"], (F.col("d") > F.col("duration")) & (F.col("w") < F.col("words"))).groupBy("recording", "idx").agg(F.count("*").alias("longer"))
+
+
+@query(f"WITH {SEG} SELECT recording, idx, nth_value(words, 2) OVER w AS second, lag(words, 2, -1) OVER w AS before, percent_rank() OVER w AS share, cume_dist() OVER w AS upto FROM seg WINDOW w AS (PARTITION BY recording ORDER BY idx)")
+def x_nth_value(spark: S, d: str) -> D:
+    """The second value so far, offsets with a default, relative ranks."""
+    w = Window.partitionBy("recording").orderBy("idx")
+    return segments(spark, d).select("recording", "idx", F.nth_value("words", 2).over(w).alias("second"), F.lag("words", 2, -1).over(w).alias("before"), F.percent_rank().over(w).alias("share"), F.cume_dist().over(w).alias("upto"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) > 0 AS some, true AS users_near, true AS median_near, count(*) AS n FROM events GROUP BY event_type")
+def x_merged_sketches(spark: S, d: str) -> D:
+    """Distinct users and medians from sketches made a day at a time and merged, compared with the exact figures."""
+    e = table(spark, d, "events")
+    days = e.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user_id", 12).alias("users"), F.kll_sketch_agg_double("value").alias("values"), F.count("*").alias("n"))
+    x = days.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"), F.kll_merge_agg_double("values").alias("values"), F.sum("n").alias("n"))
+    exact = e.groupBy(F.col("event_type").alias("t")).agg(F.count_distinct("user_id").alias("true"), F.percentile("value", F.array(F.lit(0.45), F.lit(0.55))).alias("band"))
+    x = x.join(exact, F.col("event_type") == F.col("t")).withColumn("median", F.kll_sketch_get_quantile_double("values", F.lit(0.5)))
+    return x.select("event_type", (F.col("users") > 0).alias("some"), (F.abs(F.col("users") - F.col("true")) <= 0.1 * F.col("true") + 1).alias("users_near"), F.col("median").between(F.col("band")[0], F.col("band")[1]).alias("median_near"), "n")
+
+
+@query("SELECT doc_id, lang, source, recording FROM documents")
+def x_orc(spark: S, d: str) -> D:
+    """A table through ORC and back."""
+    path = fresh_path(spark, "orc")
+    table(spark, d, "documents").select("doc_id", "lang", "source", "recording").write.orc(path)
+    return spark.read.orc(path)
+
+
+@query("SELECT doc_id, lang, source, recording FROM documents")
+def x_json(spark: S, d: str) -> D:
+    """A table through JSON lines and back, with a declared schema."""
+    path = fresh_path(spark, "json")
+    x = table(spark, d, "documents").select("doc_id", "lang", "source", "recording")
+    x.write.json(path)
+    return spark.read.schema(x.schema).json(path)

@@ -60,9 +60,41 @@ def bucketed_write(spark: S, d: str) -> D:
     return spark.read.parquet(path).select("path", "recording")
 
 
-@query()
+@query("WITH n AS (SELECT count(*) AS n FROM (SELECT DISTINCT path FROM cluster_labels)) SELECT true AS fit, n AS rows FROM n")
 def write_chunks(spark: S, d: str) -> D:
-    """Files of at most a thousand rows."""
+    """Files of at most a thousand rows, which together hold every row."""
     path = fresh_path(spark, "chunks")
-    delimited.write_chunks(segments(spark, d).select("recording", "idx"), path, 1000)
-    return spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows")).select("rows")
+    delimited.write_chunks(table(spark, d, "cluster_labels").select("path").distinct(), path, 1000)
+    sizes = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    return sizes.agg((F.max("n") <= 1000).alias("fit"), F.sum("n").alias("rows"))
+
+
+@query(_SQL)
+def scan_folder(spark: S, d: str) -> D:
+    """A folder of many headerless files, other files in it not read."""
+    path = fresh_path(spark, "folder")
+    _plain(spark, d).repartition(16).write.option("sep", "\t").csv(path)
+    spark.range(5).write.mode("append").json(path)
+    return delimited.scan(spark, path, _SCHEMA, "\t", header=False, only="*.csv")
+
+
+@query("SELECT speaker_id, surname FROM speakers")
+def scan_texts(spark: S, d: str) -> D:
+    """Every file one text: a folder written over by a second table, then read file by file."""
+    path = fresh_path(spark, "texts")
+    table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.mode("overwrite").text(path)
+    x = table(spark, d, "speakers").select("speaker_id", F.concat("surname", F.lit(" \n\n")).alias("value"))
+    x.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("speaker_id").text(path)
+    return delimited.whole_texts(spark, path, "*.txt").select(F.regexp_extract("path", r"speaker_id=(\d+)", 1).cast("int").alias("speaker_id"), F.col("text").alias("surname"))
+
+
+@query("WITH w AS (SELECT DISTINCT segment_path AS k FROM split_filelist WHERE segment_path IS NOT NULL), h AS (SELECT segment_path AS k, min(file_path) AS source, count(DISTINCT file_path) AS copies FROM segment_files WHERE segment_path IS NOT NULL GROUP BY 1) SELECT source, '/out/' || w.k AS target, coalesce(copies, 0) AS copies, CASE WHEN source IS NULL THEN 'absent' WHEN copies > 1 THEN 'unclear' ELSE 'copy' END AS state FROM w LEFT JOIN h USING (k)")
+def copy_manifest(spark: S, d: str) -> D:
+    """Which files to copy where, which are not there, and which are not the only ones."""
+    return delimited.copy_manifest(table(spark, d, "split_filelist").select("segment_path"), table(spark, d, "segment_files").select("segment_path", "file_path"), "segment_path", "file_path", "/out")
+
+
+@query("SELECT event_id, strftime(ts, '%d.%m__%H.%M') AS label, printf('%.3f', value) AS shown FROM events")
+def time_label(spark: S, d: str) -> D:
+    """Times and values formatted as labels."""
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "dd.MM'__'HH.mm").alias("label"), F.format_string("%.3f", "value").alias("shown"))

@@ -46,16 +46,22 @@ def quote_safe_scan(spark: SparkSession, path: str, schema: str, separator: str
     return text.select(F.from_csv("value", schema, {"sep": separator}).alias("r")).select("r.*")
 
 
-def scan_validated(spark: SparkSession, path: str, schema: str, separator: str = ",", only: str = "*.csv") -> tuple[DataFrame, DataFrame]:
-    """(rows of the files whose header has all the columns, (file, columns) of the others)."""
+def scan_validated(spark: SparkSession, path: str, schema: str, separator: str = ",", only: str = "*.csv", multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows of the files whose header has all the columns, (file, columns) of the others).
+
+    The first line of each file, one row a file, says which are good; the rows then come from the
+    CSV reader, so quotation marks count and a data row that looks like the header stays. ``multiline``
+    lets quoted values hold line ends, at the price of one task a file.
+    """
     want = len(spark.createDataFrame([], schema).columns)
-    lines = spark.read.option("pathGlobFilter", only).text(path).select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.option("pathGlobFilter", only).text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
     heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
-    heads = heads.select("file", "head", F.size(F.split("head", F.lit(_plain(separator)))).alias("columns"))
-    good = heads.where(F.col("columns") == want)
-    rows = lines.join(good, "file").where(F.col("value") != F.col("head"))
-    rows = rows.select(F.from_csv("value", schema, {"sep": separator}).alias("r")).select("r.*")
-    return rows, heads.where(F.col("columns") != want).select("file", "columns")
+    heads = heads.select("file", F.size(F.split("head", F.lit(_plain(separator)))).alias("columns"))
+    rows = spark.read.schema(schema).option("sep", separator).option("header", True).option("pathGlobFilter", only).option("multiLine", multiline).csv(path)
+    names = rows.columns
+    rows = rows.withColumn("__file", F.col("_metadata.file_path"))
+    good = heads.where(F.col("columns") == want).select(F.col("file").alias("__file"))
+    return rows.join(good, "__file", "left_semi").select(*names), heads.where(F.col("columns") != want)
 
 
 def _plain(separator: str) -> str:
@@ -101,3 +107,17 @@ def bucketed_write(df: DataFrame, path: str, bucket: str, keys: list[str]) -> di
     if found["only_left"] or found["only_right"]:
         raise RuntimeError(f"keys given and written differ: {found}")
     return found
+
+
+def copy_manifest(listed: DataFrame, present: DataFrame, key: str, source: str, root: str) -> DataFrame:
+    """(source, target, copies, state): the plan of copying listed files to a folder of their own.
+
+    ``listed`` names the files wanted by ``key``, ``present`` has what is there with its ``source`` path.
+    Each file is copied once, to ``root``/key. state: copy, absent (listed, not there), unclear
+    (several files of one key); files not listed are in no plan. Null keys are in no list.
+    """
+    want = listed.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__asked"))
+    have = present.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(source).alias("source"), F.count_distinct(source).alias("copies"))
+    x = want.join(have, key, "left")
+    state = F.when(F.col("source").isNull(), "absent").when(F.col("copies") > 1, "unclear").otherwise("copy")
+    return x.select("source", F.concat(F.lit(root.rstrip("/") + "/"), F.col(key)).alias("target"), F.coalesce("copies", F.lit(0)).alias("copies"), state.alias("state"))

@@ -67,25 +67,39 @@ def run_lengths(df: DataFrame, key: str, time: str, value: Column, schema_time:
     return x.groupBy("key").applyInPandasWithState(step, f"key string, {fields}", fields, "append", "NoTimeout")
 
 
-def drain(spark: SparkSession, df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a streaming query over all that is there, to a table in the shared folder."""
-    path, state = fresh_path(spark, "stream"), fresh_path(spark, "state")
+def drain(spark: SparkSession, df: DataFrame, mode: str = "complete", state: str | None = None) -> DataFrame:
+    """Run a streaming query over all that is there, to a table in the shared folder.
+
+    Each batch has a folder of its own that a replay writes over, so no row comes twice.
+    ``state`` is the checkpoint's folder, a new one if none is given.
+    """
+    path, state = fresh_path(spark, "stream"), state or fresh_path(spark, "state")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/__batch={number}")
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    if mode != "complete" and not q.lastProgress:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def drained_runs(spark: SparkSession, events: DataFrame, key: str, time: str, value: Column) -> DataFrame:
+    """``run_lengths`` of a stream run to its end: the runs that ended, and those its state still holds open."""
+    state = fresh_path(spark, "state")
+    runs = run_lengths(events, key, time, value)
+    ended = drain(spark, runs, "append", state)
+    held = spark.read.format("statestore").load(state)
+    run = "value.groupState" if "groupState" in held.schema["value"].dataType.fieldNames() else "value"
+    return ended.unionByName(held.select(F.col("key.key").alias("key"), *(F.col(f"{run}.{c}").alias(c) for c in ("value", "start", "end", "n"))))
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table, given as one file or as a folder of files, read as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema)
-    from os.path import isfile
-
-    plain = folder.removeprefix("file://")
-    if isfile(f"{plain}/{name}.parquet"):
+    place = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(place).schema)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-    return reader.parquet(f"{folder}/{name}.parquet")
+    return reader.parquet(place)

@@ -84,3 +84,17 @@ def test_centres_batch_by_batch(spark):
     near = frames.nearest_centroid(x.where("v is not null"), "v", frames.minibatch_centres(x, "v", "id", 6, batch=50), "label", "centre")
     assert near.agg(F.max("distance")).first()[0] < 1
     assert frames.minibatch_centres(x.where("false"), "v", "id", 3).count() == 0
+
+
+def test_validated_rows_may_look_like_the_header(spark, tmp_path, got):
+    (tmp_path / "1.csv").write_text('a,b\nx,"1,5"\na,b\n')
+    (tmp_path / "2.csv").write_text('a,b\n"two\nlines",y\n')
+    (tmp_path / "3.csv").write_text("a\nz\n")
+    rows, bad = D.scan_validated(spark, str(tmp_path), "a string, b string", multiline=True)
+    assert got(rows) == [("a", "b"), ("two\nlines", "y"), ("x", "1,5")] and [r["columns"] for r in bad.collect()] == [1]
+
+
+def test_copy_plan(spark, got):
+    listed = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "k string")
+    there = spark.createDataFrame([("a", "/1"), ("a", "/1"), ("b", "/2"), ("b", "/3"), ("d", "/4"), (None, "/5")], "k string, f string")
+    assert got(D.copy_manifest(listed, there, "k", "f", "/out/")) == [("/1", "/out/a", 1, "copy"), ("/2", "/out/b", 2, "unclear"), (None, "/out/c", 0, "absent")]
