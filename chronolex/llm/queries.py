@@ -194,7 +194,12 @@ def _repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(docs, key=F.col("doc_id"), text=F.col("text"), max_boilerplate=REPEATED).withColumnRenamed("key", "doc_id")
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+f AS (SELECT doc_id, i, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d || ' ' || lead(word, 4) OVER d AS five FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, CASE WHEN five IS NOT NULL AND i > min(i) OVER (PARTITION BY doc_id, five) THEN 1 ELSE 0 END AS again FROM f),
+m AS (SELECT doc_id, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS said FROM r)
+SELECT doc_id FROM m GROUP BY doc_id HAVING avg(said) >= 0.35""")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents the field does not keep, their content share being too low; the exact share is checked last.
 

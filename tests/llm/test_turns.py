@@ -80,3 +80,59 @@ def test_notes_over_rows_unnamed_words_and_shards(spark):
 
 def test_empty(spark):
     assert spoken(spark, []).collect() == []
+
+
+def one_by_one(rows):
+    """The same rules over the tokens of a segment in order, nothing cut: (start, word, speaker, opens)."""
+    out = []
+    for segm in sorted({r[0] for r in rows}):
+        tokens = sorted({r for r in rows if r[0] == segm}, key=lambda r: (r[3], r[4] if r[4] is not None else float("inf"), r[5] or "~", r[1]))
+        events = []
+        for r in tokens:
+            w = r[1]
+            events.append(" " if w in ("(x)", "eee") else "o" + w[0] if w[0] in "([" else "c" + {")": "(", "]": "["}[w[-1]] if w[-1] in ")]" else " ")
+        words = []
+        for i, r in enumerate(tokens):
+            before = [e for e in events[: i + 1] if e != " "]
+            behind = [e for e in events[i + 1 :] if e != " "]
+            open_note = bool(before) and bool(behind) and before[-1][0] == "o" and behind[0] == "c" + before[-1][1]
+            earlier = [e for e in events[:i] if e != " "]
+            closes = events[i][0] == "c" and bool(earlier) and earlier[-1] == "o" + events[i][1]
+            if r[1] not in ("(x)", "eee") and not open_note and not closes:
+                words.append(r)
+        named = {Z: 1, K: 4}
+        now = next((named[r[2]] for r in words if r[2] in named), None)
+        last = None
+        for r in words:
+            now = named.get(r[2], now)
+            out.append((segm, r[3], r[1], now, now is not None and now != last))
+            last = now
+    return out
+
+
+def test_any_cut_gives_what_the_whole_segment_gives(spark):
+    r = random.Random(11)
+    rows = []
+    for s in range(25):
+        for i in range(r.randrange(1, 40)):
+            word = r.choice(["ano", "ne", "tak", "(ruch", "sále)", "[gong", "dlouhý]", "(x)", "eee"])
+            rows.append((f"s{s:02d}", word, r.choice([Z, K, None, "-", None]), float(i) + r.random() / 2, None, f"{i:03d}"))
+    want = one_by_one(rows)
+    for shard in (0.7, 2.0, 9.0, 1000.0):
+        got = [tuple(x) for x in spoken(spark, rows, shard).orderBy("segm", "start").select("segm", "start", "word", "speaker_id", "opens").collect()]
+        assert got == want
+    df = spark.createDataFrame(rows, "segm string, word string, who string, a double, b double, id string")
+    opened = T.turn_starts(df, roster(spark), segment=F.col("segm"), word=F.col("word"), speaker=F.col("who"), start=F.col("a"), end=F.col("b"), tie=F.col("id"), transcript=F.lit("r"), shard=2.0)
+    assert sorted((x["segm"], x["start"], x["speaker_id"]) for x in opened.collect()) == [(s, t, who) for s, t, _, who, opens in want if opens]
+
+
+def test_small_batches_do_not_tear_shards(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(f"s{i % 3}", r, Z if i % 7 == 0 else K, float(i), None, str(i)) for i, r in enumerate(["ano", "(ruch", "v", "sále)", "ne"] * 20)]
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        small = [tuple(x) for x in spoken(spark, rows, 1e6).orderBy("segm", "start").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert small == [tuple(x) for x in spoken(spark, rows, 1e6).orderBy("segm", "start").collect()]
+    assert [x[3:6] for x in small] == [(t, w, who) for _, t, w, who, _ in one_by_one(rows)]
