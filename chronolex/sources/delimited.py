@@ -70,7 +70,7 @@ def _plain(separator: str) -> str:
 
 def whole_texts(spark: SparkSession, path: str, only: str = "*") -> DataFrame:
     """(path, text): each file as one text without white space at its end."""
-    x = spark.read.option("wholetext", True).option("pathGlobFilter", only).text(path)
+    x = spark.read.option("pathGlobFilter", only).text(path, wholetext=True)
     return x.select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\s+$", "").alias("text"))
 
 

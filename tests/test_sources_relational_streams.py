@@ -98,3 +98,9 @@ def test_copy_plan(spark, got):
     listed = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "k string")
     there = spark.createDataFrame([("a", "/1"), ("a", "/1"), ("b", "/2"), ("b", "/3"), ("d", "/4"), (None, "/5")], "k string, f string")
     assert got(D.copy_manifest(listed, there, "k", "f", "/out/")) == [("/1", "/out/a", 1, "copy"), ("/2", "/out/b", 2, "unclear"), (None, "/out/c", 0, "absent")]
+
+
+def test_a_text_of_many_lines_is_one_row(spark, tmp_path, got):
+    (tmp_path / "a.prt").write_text("one\ntwo \n\n")
+    (tmp_path / "b.asr").write_text("three")
+    assert got(D.whole_texts(spark, str(tmp_path)), "text") == [("one\ntwo",), ("three",)]
