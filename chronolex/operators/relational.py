@@ -64,8 +64,8 @@ def interval_join(points: DataFrame, ranges: DataFrame, on: list[str], position:
 
     A range is laid on bins of the power of two that is next above its length (never below
     ``least``), so it covers two of them at most; a point meets one bin of every width that occurs
-    in the ranges. Widths are powers of two, so few occur however the lengths differ. The join is on
-    (keys, width, bin). Ranges that end before they start, null and NaN bounds or positions match
+    among the ranges of its keys. Widths are powers of two, so few occur however the lengths differ. The
+    join is on (keys, width, bin). Ranges that end before they start, null and NaN bounds or positions match
     nothing.
     """
     length = F.greatest((F.col(end) - F.col(start)).cast("double"), F.lit(float(least)))
@@ -73,8 +73,8 @@ def interval_join(points: DataFrame, ranges: DataFrame, on: list[str], position:
     sane = ~F.isnan(F.col(start).cast("double")) & ~F.isnan(F.col(end).cast("double"))
     r = ranges.where((F.col(start) <= F.col(end)) & sane).withColumn("__w", width)
     r = r.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("__w")), F.floor(F.col(end) / F.col("__w")))))
-    widths = [row[0] for row in r.select("__w").distinct().collect()]
-    p = points.where(F.col(position).isNotNull() & ~F.isnan(F.col(position).cast("double"))).withColumn("__w", F.explode(F.array(*map(F.lit, widths)) if widths else F.array().cast("array<double>")))
+    widths = r.select(*on, "__w").distinct()
+    p = points.where(F.col(position).isNotNull() & ~F.isnan(F.col(position).cast("double"))).join(widths, on)
     p = p.withColumn("__bin", F.floor(F.col(position) / F.col("__w")))
     return p.join(r, [*on, "__w", "__bin"]).where(F.col(position).between(F.col(start), F.col(end))).drop("__w", "__bin")
 

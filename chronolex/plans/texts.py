@@ -11,7 +11,7 @@ from chronolex.functions import text as T
 from chronolex.functions import transcripts
 from chronolex.functions.transcripts import ABBREVIATIONS
 from chronolex.plans.base import ALIGNED, SEG, WORDS, aligned, segments, words
-from chronolex.plans.registry import query, table
+from chronolex.plans.registry import query, spread, table
 
 S = SparkSession
 D = DataFrame
@@ -132,7 +132,7 @@ def find_month_dates(spark: S, d: str) -> D:
 @query()
 def find_floats(spark: S, d: str) -> D:
     """Decimals found by the ordered rules."""
-    return _tokens(spark, d).select("doc_id", T.find_floats(F.col("t")).alias("floats"))
+    return spread(_tokens(spark, d), "doc_id").select("doc_id", T.find_floats(F.col("t")).alias("floats"))
 
 
 @query("SELECT doc_id, CASE WHEN strpos(r, 'města') > 0 THEN substr(r, 1, strpos(r, 'města') - 1) || 'KRAJE' || substr(r, strpos(r, 'města') + 5) ELSE r END AS text FROM (SELECT doc_id, CASE WHEN strpos(text, 'obce') > 0 THEN substr(text, 1, strpos(text, 'obce') - 1) || 'MĚSTA' || substr(text, strpos(text, 'obce') + 4) ELSE text END AS r FROM documents)")
@@ -189,6 +189,7 @@ def _transcripts(spark: S, d: str) -> D:
     x = aligned(spark, d).where(F.col("id").rlike(_PLACE))
     word = F.struct(F.regexp_extract("id", _PLACE, 2).cast("long").alias("at"), "true_w", "trans_w")
     x = x.groupBy("recording", F.regexp_extract("id", _PLACE, 1).alias("segment")).agg(F.array_sort(F.collect_set(word)).alias("w"))
+    x = spread(x, "segment")  # few bytes, much work
     return x.select("recording", "segment", F.array_join(F.col("w.true_w"), " ").alias("gold"), F.array_join(F.filter(F.col("w.trans_w"), lambda t: t.isNotNull() & (t != "")), " ").alias("heard"))
 
 
