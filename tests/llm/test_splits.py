@@ -57,3 +57,15 @@ def test_records_without_entity_repeats_and_clashes(spark):
     with pytest.raises(ValueError):
         S.split_related(df.withColumn("side", F.lit(1)), [F.col("k")], TARGETS)
     assert S.split_related(df.limit(0), [F.col("k")], TARGETS).collect() == []
+
+
+def test_hubs_are_salted_and_the_components_are_the_same(spark, got, monkeypatch):
+    from chronolex.llm import splits as S
+
+    hub = [("m", f"n{i:03d}") for i in range(60)] + [(f"n{i:03d}", f"z{i:03d}") for i in range(0, 60, 3)] + [("a", "b"), ("b", "c"), ("x", "x")]
+    edges = spark.createDataFrame(hub, "u string, v string")
+    plain = got(S.components(edges))
+    assert {c for _, c in plain} == {"m", "a", "x"} and len(plain) == 1 + 60 + 20 + 3 + 1
+    monkeypatch.setattr(S, "HUB", 5)
+    monkeypatch.setattr(S, "SALTS", 4)
+    assert got(S.components(edges)) == plain
