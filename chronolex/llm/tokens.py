@@ -33,7 +33,7 @@ def token_count(text: Column, ranks: str | None = None) -> Column:
     ``ranks`` is the rank file, by default the session's ``chronolex.tokenizer.ranks``, else
     ``RANKS``. The driver reads it and ships it with the job, so no executor needs the path.
     """
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     ranks = ranks or spark.conf.get("chronolex.tokenizer.ranks", RANKS)
     spark.sparkContext.addFile(ranks)
     name = ranks.rstrip("/").rsplit("/", 1)[-1]
