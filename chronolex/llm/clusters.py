@@ -6,7 +6,9 @@ a longest common subsequence covers ``min_share`` of the shorter. No similar pai
 * blocks: the records in order of length, ``part`` a block; two blocks meet unless every record
   of one is more than ``max_ratio`` times as long as all of the other;
 * filter: the labels two records have in common, in whatever order, bound their subsequence from
-  above; one matrix product bounds all pairs of two blocks. What is left is compared exactly;
+  above; one matrix product bounds all pairs of two blocks. What is left is counted, then compared exactly;
+* disk: the blocks are written once, packed, and read again by every task that needs them, so the
+  disk grows with the records, not with the pairs of blocks;
 * density: the number of similar records;
 * peaks have no similar denser record; the others follow their pointers, by pointer doubling,
   to the peak that names their cluster.
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,12 @@ from chronolex.operators.ranking import global_rank
 from chronolex.shared import materialise, release
 
 PART = 1024
-#: Labels counted apart in the filter, and how many of each; what lies beyond is bounded together.
-LABELS, TIMES = 512, 12
+#: Labels counted apart in the filter; what lies beyond shares their columns.
+LABELS = 512
+#: Rows of a matrix product at a time, so that it stays in the cache.
+ROWS = 256
+#: Blocks and bytes that a stretch of blocks may have.
+HELD, HELD_BYTES = 64, 16 << 20
 
 
 def label_sequences(df: DataFrame, *, key: Column, position: Column, label: Column, version: Column | None = None, min_held: int = 25, max_slip: int = 2) -> DataFrame:
@@ -120,56 +127,111 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return np.split(x[1 + x[0] :], np.cumsum(x[1 : x[0]]))
 
 
-def label_levels(seqs: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each sequence, whether it has a label once, twice, ... ``TIMES`` times, and how many labels it has beyond."""
-    n = min(len(labels), LABELS)
-    row = np.repeat(np.arange(len(seqs)), [len(v) for v in seqs])
-    count = np.bincount(row * n + np.searchsorted(labels, np.concatenate(seqs)) % n, minlength=len(seqs) * n).reshape(len(seqs), n)
-    return np.concatenate([count > k for k in range(TIMES)], 1).astype(np.float32), np.maximum(count - TIMES, 0).sum(1)
+def label_counts(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, counts): how often each sequence has each label; beyond ``LABELS`` of them several share a column."""
+    flat = np.concatenate(seqs) % LABELS
+    used = np.bincount(flat, minlength=LABELS) > 0
+    labels, column = np.flatnonzero(used), np.cumsum(used) - 1
+    row = np.repeat(np.arange(len(seqs)) * len(labels), [len(v) for v in seqs])
+    return labels, np.bincount(row + column[flat], minlength=len(seqs) * len(labels)).reshape(len(seqs), -1)
 
 
-def candidates(x: list[np.ndarray], y: list[np.ndarray], min_share: float, max_ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of all pairs that length and labels in common do not rule out."""
-    labels = np.unique(np.concatenate([*x, *y]))
-    (u, more_u), (v, more_v) = label_levels(x, labels), label_levels(y, labels)
-    used = u.any(0) & v.any(0)
-    common = u[:, used] @ v[:, used].T + np.minimum.outer(more_u, more_v)
-    m, n = np.array([len(s) for s in x])[:, None], np.array([len(s) for s in y])[None, :]
-    short = np.minimum(m, n)
-    return np.nonzero((np.maximum(m, n) <= max_ratio * short) & (common >= min_share * short - 1e-3))
+class Sketch:
+    """What the filter needs of a block of sequences, none of them empty."""
 
+    def __init__(self, seqs: list[np.ndarray]):
+        self.seqs, self.sizes = seqs, np.array([len(s) for s in seqs])
+        self.labels, counts = label_counts(seqs)
+        self.counts, self.root = counts.astype(np.min_scalar_type(counts.max())), np.sqrt(counts).astype(np.float32)
 
-def _meetings(blocks: DataFrame, max_ratio: float) -> DataFrame:
-    """(i, j), i <= j: the blocks of which some record may be similar to some of the other.
 
-    A join on the power of two of the shortest length: a block looks into the few it can reach.
+def set_places(flags: np.ndarray) -> np.ndarray:
+    """Flat positions of what is set, eight flags looked at a step: few are."""
+    flat = flags.ravel()
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    at = (np.flatnonzero(flat.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return at[flat[at]]
+
+
+def candidates(x: list[np.ndarray] | Sketch, y: list[np.ndarray] | Sketch, min_share: float, max_ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all pairs that length and labels in common do not rule out.
+
+    Of a label that one has ``a`` and the other ``b`` times, min(a, b) are in common, which is at
+    most the root of a * b: one matrix product of the roots bounds all pairs, and the labels in
+    common are counted for what is left.
     """
-    size = lambda c: F.floor(F.log2(c)).cast("int")
-    i = blocks.select(F.col("block").alias("i"), (F.col("hi") * max_ratio).alias("far"), F.explode(F.sequence(size(F.col("lo")), size(F.col("hi") * max_ratio))).alias("power"))
-    j = blocks.select(F.col("block").alias("j"), F.col("lo").alias("near"), size(F.col("lo")).alias("power"))
-    return i.join(j, "power").where("i <= j and near <= far").select("i", "j")
+    x, y = (s if isinstance(s, Sketch) else Sketch(s) for s in (x, y))
+    (u, v), (c, d) = (x.root, y.root), (x.counts, y.counts)
+    if not np.array_equal(x.labels, y.labels):
+        at = np.intersect1d(x.labels, y.labels, assume_unique=True, return_indices=True)[1:]
+        u, v, c, d = u[:, at[0]], v[:, at[1]], c[:, at[0]], d[:, at[1]]
+    short, long = ((s.sizes * (min_share * (1 - 1e-4))).astype(np.float32) for s in (x, y))  # less what rounding can take away
+    ordered = short.max() <= long.min()
+    found = []
+    for a in range(0, len(u), ROWS):
+        least = short[a : a + ROWS, None] if ordered else np.minimum.outer(short[a : a + ROWS], long)
+        found.append(set_places(u[a : a + ROWS] @ v.T >= least) + a * len(v))
+    i, j = np.divmod(np.concatenate(found), len(v))
+    m, n = x.sizes[i], y.sizes[j]
+    keep = np.maximum(m, n) <= max_ratio * np.minimum(m, n)
+    i, j, least = i[keep], j[keep], min_share * np.minimum(m, n)[keep] - 1e-6
+    keep = np.zeros(len(i), bool)
+    for a in range(0, len(i), 4096):
+        part = slice(a, a + 4096)
+        keep[part] = np.minimum(c.take(i[part], 0), d.take(j[part], 0)).sum(1, dtype=np.int64) >= least[part]
+    return i[keep], j[keep]
+
+
+def stretches(blocks: DataFrame) -> DataFrame:
+    """(at, lo, hi, blocks array<struct>): blocks next in length, about as many a stretch as there are stretches."""
+    n, most = blocks.agg(F.count("*"), F.max(F.length("data"))).first()
+    size = max(1, min(math.ceil(math.sqrt(n)), HELD, HELD_BYTES // (most or 1)))
+    x = blocks.groupBy(F.floor(F.col("block") / size).alias("at"))
+    return x.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("block", "lo", "hi", "keys", "data")).alias("blocks"))
 
 
 def similar_pairs(seqs: DataFrame, *, min_share: float = 0.65, max_ratio: float = 2.0, part: int = PART) -> DataFrame:
-    """(a, b, share), a < b: all similar pairs of ``seqs`` (key, seq), each checked exactly."""
-    blocks = materialise(length_blocks(seqs, part), "blocks")
-    meet = materialise(_meetings(blocks, max_ratio), "meet")
-    tasks = max(1, math.ceil(meet.count() / 8))
-    i, j = (blocks.select(F.col("block").alias(n), F.col("keys").alias(f"keys_{n}"), F.col("data").alias(f"data_{n}")) for n in "ij")
-    x = meet.join(i, "i").join(j, "j").repartition(tasks, "i", "j")
+    """(a, b, share), a < b: all similar pairs of ``seqs`` (key, seq), each checked exactly.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x, y, out = unpacked(r.data_i), unpacked(r.data_j), []
-                for p, q in zip(*(at.tolist() for at in candidates(x, y, min_share, max_ratio))):
-                    if r.i != r.j or p < q:
-                        share = share_in_common(x[p], y[q], min_share, max_ratio)
-                        if share >= min_share:
-                            out.append((*sorted((r.keys_i[p], r.keys_j[q])), share))
-                yield pd.DataFrame(out, columns=["a", "b", "share"])
-
-    return x.mapInPandas(run, "a string, b string, share double")
+    Stretches of blocks meet by a product of their files, which every task reads for itself: no
+    block is shuffled, spilled or broadcast to meet another.
+    """
+    blocks = materialise(length_blocks(seqs, part), "blocks")
+    held = materialise(stretches(blocks), "stretches", maxRecordsPerFile=1)
+    release(blocks)
+    i, j = (held.select(*(F.col(c).alias(f"{c}_{n}") for c in ("at", "lo", "hi", "blocks"))) for n in "ij")
+    x = i.join(j.hint("shuffle_replicate_nl"), (F.col("at_i") <= F.col("at_j")) & (F.col("lo_j") <= F.col("hi_i") * max_ratio))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, Sketch] = {}
+
+        def sketch(block: int, data: pa.Scalar) -> Sketch:
+            if block not in known:
+                if len(known) >= 2 * HELD:
+                    known.clear()
+                known[block] = Sketch(unpacked(data.as_py()))
+            return known[block]
+
+        for batch in batches:
+            for left, right in zip(batch.column("blocks_i"), batch.column("blocks_j")):
+                (i, hi, keys_i, data_i), (j, lo, keys_j, data_j) = ([s.values.field(f) for f in ("block", bound, "keys", "data")] for s, bound in ((left, "hi"), (right, "lo")))
+                i, hi, j, lo = (v.to_numpy() for v in (i, hi, j, lo))
+                for m, n in np.argwhere((i[:, None] <= j) & (lo <= hi[:, None] * max_ratio)).tolist():
+                    x, y, out = sketch(i[m], data_i[m]), sketch(j[n], data_j[n]), []
+                    at = [v.tolist() for v in candidates(x, y, min_share, max_ratio)]
+                    if not at[0]:
+                        continue
+                    names, others, apart = keys_i[m].as_py(), keys_j[n].as_py(), i[m] != j[n]
+                    for p, q in zip(*at):
+                        if apart or p < q:
+                            share = share_in_common(x.seqs[p], y.seqs[q], min_share, max_ratio)
+                            if share >= min_share:
+                                out.append((*sorted((names[p], others[q])), share))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.string(), pa.string(), pa.float64()))], ["a", "b", "share"])
+
+    return x.select("blocks_i", "blocks_j").mapInArrow(run, "a string, b string, share double")
 
 
 def follow(pointers: DataFrame, rounds: int = 64) -> DataFrame:

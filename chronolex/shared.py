@@ -55,11 +55,11 @@ def clear(spark: SparkSession) -> None:
     remove(spark, _own(spark))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     """Write once, read back: the result survives lost executors and is never computed twice."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
